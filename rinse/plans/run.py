@@ -70,16 +70,17 @@ def round_trip(spark: SparkSession, tables: Mapping[str, DataFrame], folder: str
         counted = table.observe(
             seen,
             F.count(F.lit(1)).alias("rows"),
-            (F.coalesce(F.max(F.spark_partition_id()), F.lit(-1)) + 1).alias("partitions"),
+            F.max(F.spark_partition_id()).alias("last_partition"),
         )
         write_parquet(counted, path)
         stats = seen.get
+        last = stats["last_partition"]
         one = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("parquet_rows")).select(
             F.lit(name).alias("name"),
             F.array(*map(F.lit, table.columns)).cast("array<string>").alias("columns"),
             F.lit(stats["rows"]).cast("long").alias("source_rows"),
             "parquet_rows",
-            F.lit(stats["partitions"]).alias("partitions"),
+            F.lit(0 if last is None else last + 1).alias("partitions"),
         )
         audit = one if audit is None else audit.unionByName(one)
     return audit

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
@@ -16,6 +17,7 @@ from rinse.sources.tables import unreadable
 MAX_LISTED = 1000
 PREVIEW_ROWS = 10
 LARGEST_WORKBOOK = 50 * 1024 * 1024
+_LONGEST_KEY = 4096
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
@@ -23,16 +25,19 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
 
     Only metadata is read, no content. The key is the path below the folder.
     """
+    scheme = re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", root)
+    if not scheme and not root.startswith("/"):
+        raise RinseError(INVALID_SPEC, f"Give the whole path of the folder, not {root!r}")
     found = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "{" + ",".join(ANY_CASE.values()) + "}")
         .load(root)
     )
-    # Paths come as URIs (file:/…), whatever way the folder was written.
-    base = root.rstrip("/").split(":", 1)[-1].lstrip("/") + "/"
-    path = F.url_decode(F.regexp_replace("path", r"\+", "%2B"))
-    key = F.substring_index(path, base, -1) if base == "/" else F.split_part(path, F.lit(base), F.lit(2))
+    # Spark adds the scheme and host that the folder was written without.
+    lead = r"^[A-Za-z][A-Za-z0-9+.-]*:" + ("" if scheme else r"(?://[^/]*)?") + "/*"
+    base = re.sub(lead, "", root).strip("/")
+    key = F.substring(F.regexp_replace("path", lead, ""), len(base) + 2 if base else 1, _LONGEST_KEY)
     listed = found.select(
         key.alias("key"),
         F.col("length").alias("size"),

@@ -42,14 +42,19 @@ def read_xlsx(spark: SparkSession, path: str, *, recursive: bool = False) -> Dat
             .option("pathGlobFilter", "*.[xX][lL][sS][xX]")
             .option("recursiveFileLookup", recursive)
             .load(path)
-            .select("path", "content")
         )
-        names = _header(files)
+        return read_workbooks(files)
     except PySparkException as error:
         message = f"Cannot read {path}: {first_line(error)}"
         raise RinseError(SOURCE_READ_ERROR, message) from error
+
+
+def read_workbooks(files: DataFrame) -> DataFrame:
+    """The same for a table ``(path, content)`` of workbooks."""
+    files = files.select("path", "content")
+    names = _header(files)
     schema = ", ".join(f"`{name.replace('`', '``')}` string" for name in names)
-    return files.mapInArrow(_rows_in(names), schema) if names else spark.createDataFrame([], "")
+    return files.mapInArrow(_rows_in(names), schema) if names else files.select()
 
 
 def _header(files: DataFrame) -> list[str]:
