@@ -118,12 +118,12 @@ def required_text(pattern: str) -> tuple[str, ...]:
 
     Looking for them first is far cheaper than running the pattern on every cell.
     """
+    if _UNSURE.search(pattern) or "{" in re.sub(r"\\.|\{\d+(?:,\d*)?\}", "", pattern):
+        return ()
     try:
         re.compile(pattern)
     except re.error:
         return ()
-    if _UNSURE.search(pattern) or "{" in re.sub(r"\\.|\{\d+(?:,\d*)?\}", "", pattern):
-        return ()
     pieces = [""]
     _collect(tree(pattern), pieces)
     return tuple(dict.fromkeys(piece for piece in pieces if piece))
