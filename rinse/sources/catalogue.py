@@ -23,7 +23,8 @@ _LONGEST_KEY = 4096
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """``(key, size, last_modified, file_type)`` of all supported files below the folder.
 
-    Only metadata is read, no content. The key is the path below the folder.
+    Only metadata is read, no content. The key is the path below the folder. Spark's listing
+    leaves out empty files and names that start with ``_`` or a dot.
     """
     scheme = re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", root)
     if not scheme and not root.startswith("/"):
