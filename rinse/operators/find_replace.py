@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,12 +15,17 @@ from rinse.functions.text import literal_replacement
 from rinse.operators.cells import Cell, Rule, clean_alike, present
 
 
+def may_match(value: Column, pattern: str) -> Column | None:
+    """Whether the text has the literal pieces every match needs; None if there are none."""
+    tests = [value.contains(piece) for piece in required_text(pattern)]
+    return reduce(Column.__and__, tests) if tests else None
+
+
 def found(value: Column, pattern: str) -> Column:
     """Whether the pattern occurs in the text; looks for its literal pieces first."""
+    possible = may_match(value, pattern)
     test = value.rlike(pattern)
-    for piece in reversed(required_text(pattern)):
-        test = value.contains(piece) & test
-    return test
+    return test if possible is None else possible & test
 
 
 def replacing(pattern: str, replacement: str) -> Rule:
@@ -27,9 +33,13 @@ def replacing(pattern: str, replacement: str) -> Rule:
     literal = literal_replacement(replacement)
 
     def rule(value: Column) -> Cell:
-        hit = found(value, pattern)
-        # The test is shared with the match flag, so cells without a match cost one search.
-        return Cell(F.when(hit, F.regexp_replace(value, pattern, literal)).otherwise(value), hit)
+        text = F.regexp_replace(value, pattern, literal)
+        possible = may_match(value, pattern)
+        if possible is not None:
+            text = F.when(possible, text).otherwise(value)
+        # A changed text had a match. One that stayed the same had one only if what matched is
+        # the replacement itself, so hardly any cell is searched twice.
+        return Cell(text, (text != value) | (value.contains(replacement) & found(value, pattern)))
 
     return rule
 

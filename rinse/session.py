@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # AQE handles skewed joins and the number of reduce tasks. Inputs are cut so that every core
 # gets a few tasks; a large input still gets splits of the full maxPartitionBytes.
@@ -17,6 +18,10 @@ SETTINGS = {
 }
 TASKS_PER_CORE = 3
 
+# Tables of this size are dealt out over all cores; larger ones have splits enough.
+SPREAD_FROM = 1024 * 1024
+SPREAD_TO_PER_CORE = 16 * 1024 * 1024
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings to a running session; safe to repeat."""
@@ -47,3 +52,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table for work that is costly per row.
+
+    A row group is never split, so a small table in one file would keep all cores but one idle.
+    Such a table is dealt out over the cores; from 16 MiB per core on nothing is shuffled.
+    """
+    table = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    size = files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("size")).first()["size"]
+    small = SPREAD_FROM <= size <= SPREAD_TO_PER_CORE * cores
+    return table.repartition(cores) if small else table
