@@ -6,41 +6,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
+from rinse.operators.cells import named
+from rinse.session import stored
+
 BROADCAST_BYTES = 64 * 1024 * 1024
+# A key of more than one in so many rows is hot, and its rows are dealt out this many ways.
+HOT_SHARE = 1000
 SALTS = 32
 
+# Type names whose values take at most 16 bytes.
+_FIXED = {
+    "boolean", "byte", "short", "integer", "long", "float", "double", "decimal", "date",
+    "timestamp", "timestamp_ntz",
+}
+
 
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     """Measure the table; one aggregate over it."""
     width = F.lit(16 * len(df.columns))
     for field in df.schema:
         if isinstance(field.dataType, (StringType, BinaryType)):
-            width = width + F.coalesce(F.octet_length(F.col(field.name)), F.lit(0))
-        elif not field.dataType.typeName() in _FIXED:
-            width = width + F.coalesce(F.octet_length(F.to_json(F.struct(field.name))), F.lit(0))
+            width = width + F.coalesce(F.octet_length(named(field.name)), F.lit(0))
+        elif field.dataType.typeName() not in _FIXED:
+            width = width + F.coalesce(F.octet_length(F.to_json(F.struct(named(field.name)))), F.lit(0))
     size = df.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("size")).first()["size"]
     return size <= limit
 
 
-# Type names whose values take at most 16 bytes.
-_FIXED = {
-    "boolean", "byte", "short", "integer", "long", "float", "double", "decimal", "date",
-    "timestamp", "timestamp_ntz",
-}
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """Keys that more than one in ``HOT_SHARE`` rows have, so at most ``HOT_SHARE`` of them."""
+    counts = stored(rows.groupBy(key).agg(F.count(F.lit(1)).alias("__rows")), "keys")
+    total = counts.agg(F.coalesce(F.sum("__rows"), F.lit(0)).alias("rows")).first()["rows"]
+    return counts.where(F.col("__rows") > total / HOT_SHARE).select(key)
 
 
 def lookup(
-    rows: DataFrame, answers: DataFrame, key: str, limit: int = BROADCAST_BYTES
+    rows: DataFrame,
+    answers: DataFrame,
+    key: str,
+    limit: int = BROADCAST_BYTES,
+    size: int | None = None,
 ) -> DataFrame:
     """All rows with the answer's columns, null where there is none.
 
-    Answers are broadcast if they measure at most ``limit`` bytes. Otherwise both sides are
-    shuffled, and each row picks one of several copies of its answer, so that a key which most
-    rows share is spread over as many tasks.
+    Answers are broadcast if they take at most ``limit`` bytes; ``size`` is for callers who
+    have measured them. Otherwise both sides are shuffled by the key. Rows with a hot key are
+    dealt out over several tasks then, each with a copy of that key's answer.
     """
-    if fits_broadcast(answers, limit):
+    if fits_broadcast(answers, limit) if size is None else size <= limit:
         return rows.join(F.broadcast(answers), key, "left")
-    salt = "__salt"
-    spread = rows.withColumn(salt, F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
-    copies = answers.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return spread.join(copies, [key, salt], "left").drop(salt)
+    salt, hot = "__salt", "__hot"
+    marked = F.broadcast(hot_keys(rows, key).withColumn(hot, F.lit(True)))
+    # The salt follows from the row and the task that holds it, so a repeated task gives the
+    # same one, and equal rows from different tasks still part ways.
+    dealt = F.pmod(F.xxhash64(F.spark_partition_id(), *map(named, rows.columns)), F.lit(SALTS))
+    salted = rows.withColumn(salt, dealt.cast("int")).join(marked, key, "left")
+    salted = salted.withColumn(salt, F.when(F.col(hot), F.col(salt)).otherwise(0)).drop(hot)
+    copies = F.when(F.col(hot), F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    copied = answers.join(marked, key, "left").withColumn(
+        salt, F.explode(F.coalesce(copies, F.array(F.lit(0))))
+    )
+    return salted.join(copied.drop(hot), [key, salt], "left").drop(salt)

@@ -24,43 +24,61 @@ MAX_PAGE_SIZE = 500
 BUCKET_BITS = 20
 # Buckets are added up in blocks of this many bits' worth, then the blocks.
 BLOCK_BITS = 16
+_OFFSET_BYTES = 48
 
 
 def _bucket() -> Column:
     return F.shiftright(named(ROW_ID), BUCKET_BITS)
 
 
-def bucket_offsets(result: DataFrame) -> DataFrame:
-    """Per bucket of ids: rows before it, its own rows, its lowest and highest id.
+def bucket_counts(result: DataFrame) -> DataFrame:
+    """Per bucket of ids its ``rows`` and its ``low``est and ``high``est id, kept in a table.
 
-    Reads the id column only. The counts are added up within blocks and over blocks, so no
-    task sees more than 2**16 buckets or one row per block.
+    The only look at the result, and only at its id column.
     """
     counts = result.groupBy(_bucket().alias("bucket")).agg(
         F.count(F.lit(1)).alias("rows"),
         F.min(named(ROW_ID)).alias("low"),
         F.max(named(ROW_ID)).alias("high"),
     )
+    return stored(counts, "buckets")
+
+
+def bucket_offsets(counts: DataFrame) -> DataFrame:
+    """Add to the counts how many rows come ``before`` each bucket.
+
+    Counts are added up within blocks of buckets and over blocks, so no task sees more than
+    2**16 buckets or one row per block.
+    """
     counts = counts.withColumn("block", F.shiftright("bucket", BLOCK_BITS))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = (
         counts.groupBy("block")
         .agg(F.sum("rows").alias("block_rows"))
-        .select("block", F.coalesce(F.sum("block_rows").over(before), F.lit(0)).alias("base"))
-    )
-    inside = Window.partitionBy("block").orderBy("bucket").rowsBetween(
-        Window.unboundedPreceding, -1
+        .select("block", F.coalesce(F.sum("block_rows").over(earlier), F.lit(0)).alias("base"))
     )
+    inside = Window.partitionBy("block").orderBy("bucket")
+    inside = inside.rowsBetween(Window.unboundedPreceding, -1)
     local = F.coalesce(F.sum("rows").over(inside), F.lit(0))
     return counts.withColumn("local", local).join(blocks, "block").select(
         "bucket", "rows", "low", "high", (F.col("base") + F.col("local")).alias("before")
     )
 
 
-def _dense(offsets: DataFrame) -> bool:
-    """Whether ids have no gaps inside any bucket, so numbers follow by arithmetic."""
-    gapless = F.col("high") - F.col("low") + 1 == F.col("rows")
-    return offsets.agg(F.coalesce(F.bool_and(gapless), F.lit(True)).alias("dense")).first()["dense"]
+def offsets_of(result: DataFrame) -> DataFrame:
+    """The offsets of a result in a table, for reading many pages of it."""
+    return stored(bucket_offsets(bucket_counts(result)), "offsets")
+
+
+def _gapless() -> Column:
+    """Whether the ids of a bucket follow each other, so that numbers are arithmetic."""
+    return F.col("high") - F.col("low") + 1 == F.col("rows")
+
+
+def _measure(counts: DataFrame) -> tuple[bool, int]:
+    """Whether no bucket has gaps, and the number of buckets."""
+    dense = F.coalesce(F.bool_and(_gapless()), F.lit(True))
+    return tuple(counts.agg(dense, F.count(F.lit(1))).first())
 
 
 def number_rows(result: DataFrame) -> DataFrame:
@@ -69,14 +87,16 @@ def number_rows(result: DataFrame) -> DataFrame:
     With ids as Spark assigns them the rows are not shuffled at all. Where ids were removed
     since, rows are ranked inside their bucket, which bounds every group.
     """
-    offsets = stored(bucket_offsets(result), "offsets")
+    counts = bucket_counts(result)
+    dense, buckets = _measure(counts)
     rows = result.withColumn("bucket", _bucket())
-    if _dense(offsets):
+    if dense:
         position = named(ROW_ID) - F.col("low") + 1
     else:
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy(named(ROW_ID)))
         rows, position = rows.withColumn("__rank", rank), F.col("__rank")
-    joined = lookup(rows, offsets.select("bucket", "before", "low"), "bucket")
+    offsets = bucket_offsets(counts).select("bucket", "before", "low")
+    joined = lookup(rows, offsets, "bucket", size=buckets * _OFFSET_BYTES)
     return joined.select(
         (F.col("before") + position).cast("long").alias(ROW_NUMBER), *map(named, result.columns)
     )
@@ -95,9 +115,9 @@ def number_rows_by(df: DataFrame, keys: Sequence[str | Column]) -> DataFrame:
 
 def page_index(result: DataFrame, page_size: int) -> DataFrame:
     """One row ``(page, first_id, last_id, rows)`` per page, to serve any page by id range."""
-    offsets = stored(bucket_offsets(result), "offsets")
+    counts = bucket_counts(result)
     size = F.lit(clamp_page_size(page_size)).cast("long")
-    if not _dense(offsets):
+    if not _measure(counts)[0]:
         page = F.floor((F.col(ROW_NUMBER) - 1) / size).cast("long") + 1
         return (
             number_rows(result.select(named(ROW_ID)))
@@ -108,26 +128,26 @@ def page_index(result: DataFrame, page_size: int) -> DataFrame:
                 F.count(F.lit(1)).alias("rows"),
             )
         )
-    # Each bucket lists the pages it holds a part of; a page has few parts, rows play no role.
+    # Each bucket lists the pages it holds rows of; the rows themselves play no role.
     first_page = F.floor(F.col("before") / size).cast("long")
     last_page = F.floor((F.col("before") + F.col("rows") - 1) / size).cast("long")
-    parts = offsets.withColumn("at", F.explode(F.sequence(first_page, last_page)))
+    parts = bucket_offsets(counts).withColumn("at", F.explode(F.sequence(first_page, last_page)))
     from_row = F.greatest(F.col("at") * size, F.col("before"))
     to_row = F.least(F.col("at") * size + size, F.col("before") + F.col("rows")) - 1
-    return (
-        parts.select(
-            (F.col("at") + 1).alias("page"),
-            (F.col("low") + from_row - F.col("before")).alias("first"),
-            (F.col("low") + to_row - F.col("before")).alias("last"),
-            (to_row - from_row + 1).alias("part"),
-        )
-        .groupBy("page")
-        .agg(
-            F.min("first").alias("first_id"),
-            F.max("last").alias("last_id"),
-            F.sum("part").alias("rows"),
-        )
+    parts = parts.select(
+        (F.col("at") + 1).alias("page"),
+        (F.col("low") + from_row - F.col("before")).alias("first_id"),
+        (F.col("low") + to_row - F.col("before")).alias("last_id"),
+        (to_row - from_row + 1).alias("rows"),
+    )
+    # Nearly all pages lie in one bucket; only those across two are put together by a shuffle.
+    across = parts.where(F.col("rows") < size).groupBy("page")
+    joined = across.agg(
+        F.min("first_id").alias("first_id"),
+        F.max("last_id").alias("last_id"),
+        F.sum("rows").alias("rows"),
     )
+    return parts.where(F.col("rows") == size).unionByName(joined)
 
 
 def id_range(result: DataFrame, low: int, high: int) -> DataFrame:
@@ -167,12 +187,11 @@ def locate(result: DataFrame, start: int, count: int, offsets: DataFrame) -> tup
     inside = (F.col("before") < start + count) & (F.col("before") + F.col("rows") > start)
     skipped = F.greatest(F.lit(start) - F.col("before"), F.lit(0))
     taken = F.least(F.lit(start + count) - F.col("before"), F.col("rows"))
-    gapless = F.col("high") - F.col("low") + 1 == F.col("rows")
     found = offsets.agg(
         F.coalesce(F.sum("rows"), F.lit(0)).alias("total"),
         F.min(F.when(inside, F.col("low") + skipped)).alias("first"),
         F.max(F.when(inside, F.col("low") + taken - 1)).alias("last"),
-        F.coalesce(F.bool_and(F.when(inside, gapless)), F.lit(True)).alias("dense"),
+        F.coalesce(F.bool_and(F.when(inside, _gapless())), F.lit(True)).alias("dense"),
         F.min(F.when(inside, F.col("low"))).alias("low"),
         F.max(F.when(inside, F.col("high"))).alias("high"),
         F.min(F.when(inside, F.col("before"))).alias("before"),
@@ -190,11 +209,11 @@ def read_page(
 ) -> Page:
     """One page in id order. Past the end it has no rows but all columns.
 
-    Pass stored ``bucket_offsets`` to read many pages of one result without counting again.
+    Pass ``offsets_of`` the result to read many pages of it without counting again.
     """
     page, page_size = max(page, 1), clamp_page_size(page_size)
     start = (page - 1) * page_size
-    offsets = bucket_offsets(result) if offsets is None else offsets
+    offsets = bucket_offsets(bucket_counts(result)) if offsets is None else offsets
     total, first, last = locate(result, start, page_size, offsets)
     rows = result.limit(0) if first is None else id_range(result, first, last)
     columns = [name for name in result.columns if name not in (ROW_ID, MATCHED)]

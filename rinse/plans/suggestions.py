@@ -64,15 +64,15 @@ def read_normalizations(df: DataFrame, column: str = "suggestion") -> DataFrame:
     formats = F.array_distinct(s["input_formats"])
     checked = _json(df, column, NORMALIZATION).withColumn(
         "__bad", F.when(dates, date_problem(formats, s["output_format"])).otherwise(
-            rules_problem(s["rules"])
+            rules_problem(F.when(~dates, s["rules"]))
         )
     )
-    status = _status(malformed, s["feasible"])
-    usable = status == "ok"
+    checked = checked.withColumn("__status", _status(malformed, s["feasible"]))
+    usable = F.col("__status") == "ok"
     return checked.select(
         *map(named, df.columns),
-        status.alias("status"),
-        *_explained(status, s["explanation"]),
+        F.col("__status").alias("status"),
+        *_explained(s["explanation"]),
         F.when(usable, s["kind"]).alias("kind"),
         F.when(usable & dates, formats).alias("input_formats"),
         F.when(usable & dates, s["output_format"]).alias("output_format"),
@@ -89,9 +89,9 @@ def _status(malformed: Column, feasible: Column) -> Column:
     )
 
 
-def _explained(status: Column, explanation: Column) -> list[Column]:
-    invalid = status == "invalid"
-    message = F.when(status == "infeasible", explanation).when(invalid, F.col("__bad.message"))
+def _explained(explanation: Column) -> list[Column]:
+    invalid = F.col("__status") == "invalid"
+    message = F.when(F.col("__status") == "infeasible", explanation).when(invalid, F.col("__bad.message"))
     return [F.when(invalid, F.col("__bad.code")).alias("code"), message.alias("message")]
 
 
@@ -110,11 +110,12 @@ def read_patterns(df: DataFrame, column: str = "suggestion") -> DataFrame:
     parsed = parsed.withColumn("__audit", verdict(F.col("__pattern")))
     bad = F.when(~F.col("__audit.ok"), F.struct("__audit.code", "__audit.message"))
     status = _status(_any(*(s[name].isNull() for name in fields)), s["feasible"])
-    return parsed.withColumn("__bad", bad).select(
+    judged = parsed.withColumn("__bad", bad).withColumn("__status", status)
+    return judged.select(
         *map(named, df.columns),
-        status.alias("status"),
-        *_explained(status, s["explanation"]),
-        F.when(status == "ok", F.col("__pattern")).alias("pattern"),
+        F.col("__status").alias("status"),
+        *_explained(s["explanation"]),
+        F.when(F.col("__status") == "ok", F.col("__pattern")).alias("pattern"),
     )
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from rinse.errors import INVALID_PATTERN, INVALID_SPEC
-from rinse.plans.audit import problem
+from rinse.plans.audit import problems
 
 # Limits of a specification.
 MAX_DATE_FORMATS = 10
@@ -81,9 +82,12 @@ def rules_problem(rules: Column) -> Column:
     return F.coalesce(of_size, F.get(F.filter(of_rules, lambda one: one.isNotNull()), F.lit(0)))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _pattern_problems(lists: pd.Series) -> pd.Series:
-    return lists.map(lambda patterns: None if patterns is None else [problem(p) for p in patterns])
+@F.arrow_udf(ArrayType(StringType()))
+def _pattern_problems(lists: pa.Array) -> pa.Array:
+    found = problems(lists.flatten())
+    ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(lists), 0))
+    offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends.cast(pa.int32())])
+    return pa.ListArray.from_arrays(offsets, found, mask=lists.is_null())
 
 
 def _with_code(message: Column, code: str) -> Column:

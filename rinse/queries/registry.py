@@ -13,12 +13,15 @@ SQL: dict[str, str] = {}
 
 
 class Tables:
-    """The tables of one folder by name; reading is lazy and prunes columns."""
+    """The tables of one folder by name, for work per row; ``plain`` ones for sorting."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark = spark
         self.folder = folder.rstrip("/")
 
+    def plain(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
     def __getattr__(self, name: str) -> DataFrame:
         return read_table(self.spark, f"{self.folder}/{name}.parquet")
 

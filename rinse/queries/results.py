@@ -19,7 +19,8 @@ LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnfl
 
 def result_of_orders(t):
     """A result as a run leaves it: orders by key, with row ids and match flags."""
-    ordered = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority").orderBy("o_orderkey")
+    ordered = t.plain("orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    ordered = ordered.orderBy("o_orderkey")
     return stored(find_replace(with_row_id(ordered), ["o_orderpriority"], "URGENT", "now"), "result")
 
 
@@ -41,7 +42,7 @@ def run_counts_of_documents(t):
     SELECT row_number() OVER (ORDER BY {", ".join(LINE_KEYS)}) AS row_number, {", ".join(LINE_KEYS)}
     FROM lineitem""")
 def row_numbers_of_lineitems(t):
-    return number_rows_by(t.lineitem.select(*LINE_KEYS), LINE_KEYS)
+    return number_rows_by(t.plain("lineitem").select(*LINE_KEYS), LINE_KEYS)
 
 
 @query("""
@@ -72,7 +73,8 @@ def seventh_page_of_orders(t):
               count(*) OVER () AS total FROM lineitem)
     WHERE row_number > (total - 1) // 50 * 50""")
 def last_page_of_lineitems(t):
-    result = stored(with_row_id(t.lineitem.select(*LINE_KEYS).orderBy(*LINE_KEYS)), "result")
+    lines = t.plain("lineitem").select(*LINE_KEYS).orderBy(*LINE_KEYS)
+    result = stored(with_row_id(lines), "result")
     pages = read_page(result, 1, 50).total_pages
     return read_page(result, pages, 50).rows
 
@@ -122,6 +124,6 @@ _SAMPLE_SQL = """
     + " UNION ALL ".join(_SAMPLE_SQL.format(name) for name in ("source", "lang", "text"))
 )
 def sample_of_documents(t):
-    sample = sample_values(t.documents, ["source", "lang", "text"], order_by="doc_id")
+    sample = sample_values(t.plain("documents"), ["source", "lang", "text"], order_by="doc_id")
     values = sample.select("column", F.posexplode("values").alias("rank", "value"))
     return values.withColumn("rank", (F.col("rank") + 1).cast("long"))

@@ -50,9 +50,9 @@ def classifications_of_documents(t):
     source = F.when(F.col("doc_id") % 2 == 0, "identifier").otherwise("none")
     entries = F.array(
         entry("lang", F.array(F.lit("none"))),
-        entry("text", kinds(F.col("text").rlike(masks.PHONE), "phone")),
+        entry("text", kinds(masks.has_phone(F.col("text")), "phone")),
         entry("made up", F.array(F.lit("email"))),
-        entry("text", kinds(F.col("text").rlike(masks.EMAIL), "email")),
+        entry("text", kinds(masks.has_email(F.col("text")), "email")),
         entry("source", F.array(source)),
     )
     whole = F.to_json(F.struct(entries.alias("columns"), F.lit("found").alias("explanation")))

@@ -18,7 +18,7 @@ SETTINGS = {
 }
 TASKS_PER_CORE = 3
 
-# Tables of this size are dealt out over all cores; larger ones have splits enough.
+# Tables of this size in few files are dealt out over all cores; others have splits enough.
 SPREAD_FROM = 1024 * 1024
 SPREAD_TO_PER_CORE = 16 * 1024 * 1024
 
@@ -34,12 +34,13 @@ def configure(spark: SparkSession) -> SparkSession:
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh folder path that all executors share, below ``spark.checkpoint.dir``."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("Set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="rinse-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="rinse-"))
+        root = context.getCheckpointDir()
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -63,6 +64,6 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     table = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    size = files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("size")).first()["size"]
-    small = SPREAD_FROM <= size <= SPREAD_TO_PER_CORE * cores
+    lengths = [row["length"] for row in files.select("length").head(cores + 1)]
+    small = SPREAD_FROM <= sum(lengths) <= SPREAD_TO_PER_CORE * cores and len(lengths) <= cores
     return table.repartition(cores) if small else table

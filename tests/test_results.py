@@ -17,8 +17,9 @@ from rinse import (
     with_row_id,
     write_counted,
 )
-from rinse.operators.lookup import fits_broadcast, lookup
-from rinse.operators.paging import bucket_offsets, clamp_page_size, id_range, total_pages
+from rinse.operators import lookup as lookups
+from rinse.operators.lookup import fits_broadcast, hot_keys, lookup
+from rinse.operators.paging import clamp_page_size, id_range, offsets_of, total_pages
 from rinse.session import scratch, stored
 from tests.conftest import values
 
@@ -51,7 +52,7 @@ def test_past_the_end_and_sizes(result):
 
 
 def test_offsets_can_be_kept(result):
-    offsets = stored(bucket_offsets(result), "offsets")
+    offsets = offsets_of(result)
     assert [values(read_page(result, n, 3, offsets).rows)[0][0] for n in (1, 2)] == [1, 4]
 
 
@@ -113,7 +114,8 @@ def test_id_range_reaches_the_scan(result):
 def test_numbering_does_not_shuffle_rows(spark):
     written = stored(with_row_id(spark.range(1000).toDF("v")), "plain")
     plan = number_rows(written)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+    join, below = plan.split("BroadcastHashJoin [bucket", 1)[1].split("\n", 2)[:2]
+    assert "LeftOuter" in join and "Project" in below, "the rows must reach the join as read"
 
 
 # --- counts -----------------------------------------------------------------------------
@@ -171,20 +173,38 @@ def test_samples_of_nothing(spark, table):
 
 
 @pytest.mark.parametrize("limit", [0, 10**6])
-def test_lookup_with_a_hot_key(spark, limit):
+def test_lookup_with_a_hot_key(spark, limit, monkeypatch):
+    monkeypatch.setattr(lookups, "HOT_SHARE", 5)
     rows = spark.range(900).select(
         F.col("id").alias("row"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k")
     )
     answers = spark.createDataFrame([(7, "hot"), (10, "ten"), (5000, "none")], "k long, a string")
     found = lookup(rows, answers, "k", limit)
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert ("Broadcast" in plan) == bool(limit)
+    assert ("SortMergeJoin" in plan or "ShuffledHashJoin" in plan) == (not limit)
     wanted = sorted((7 if n % 3 == 0 else n, n) for n in range(900))
     got = sorted(values(found), key=lambda row: (row[0], row[1]))
     assert [(k, n) for k, n, _ in got] == wanted
     assert all(a == {7: "hot", 10: "ten"}.get(k) for k, _, a in got)
 
 
+def test_hot_keys_are_few_and_spread(spark):
+    keys = F.when(F.col("id") < 400, "hot").otherwise(F.col("id").cast("string"))
+    rows = spark.range(0, 1000, 1, 8).select(keys.alias("k"))
+    assert values(hot_keys(rows, "k")) == [("hot",)]
+    answers = spark.createDataFrame([("hot", 1), ("999", 2)], "k string, a long")
+    found = lookup(rows, answers, "k", limit=0)
+    assert found.count() == 1000 and found.where("a = 2").count() == 1
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        spread = found.groupBy(F.spark_partition_id().alias("task"), "k", "a").count().where("k = 'hot'")
+        counts = [row["count"] for row in spread.collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert sum(counts) == 400 and len(counts) > 1
+
+
 def test_measuring_a_table(spark):
     df = spark.createDataFrame([("x" * 1000, [1, 2])], "s string, a array<int>")
     assert not fits_broadcast(df, 1000) and fits_broadcast(df, 2000)
