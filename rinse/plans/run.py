@@ -19,7 +19,8 @@ class Stats(NamedTuple):
     matched_count: int
 
 
-def _counts() -> list[Column]:
+def counts() -> list[Column]:
+    """What is counted of a result: rows and matches."""
     return [
         F.count(F.lit(1)).alias("row_count"),
         F.count_if(named(MATCHED)).alias("matched_count"),
@@ -29,13 +30,13 @@ def _counts() -> list[Column]:
 def write_counted(result: DataFrame, path: str) -> Stats:
     """Write the result and count rows and matches in the same pass."""
     seen = Observation()
-    write_parquet(result.observe(seen, *_counts()), path)
+    write_parquet(result.observe(seen, *counts()), path)
     return Stats(**seen.get)
 
 
 def count_result(spark: SparkSession, path: str) -> DataFrame:
     """The same counts, from a result that is already written: one row."""
-    return read_flags(spark, path).agg(*_counts())
+    return read_flags(spark, path).agg(*counts())
 
 
 def run(

@@ -17,6 +17,8 @@ from rinse.operators.profile import (
     pattern_examples,
     profile_kinds,
 )
+from rinse.operators.reformat import reformat
+from rinse.plans.specs import Dates
 from rinse.queries.registry import query, quoted
 from rinse.queries.transforms import DATE_FORMATS, MIXED_DATES_SQL, mixed_dates
 
@@ -149,6 +151,16 @@ def date_formats_of_orders(t):
     return found.withColumn("input_formats", F.array_join("input_formats", "|"))
 
 
+@query(f"""
+    SELECT o_orderkey, CASE WHEN c < 4 THEN strftime(day, '%Y-%m-%d') ELSE placed END AS placed,
+           c < 4 AS __matched
+    FROM {MIXED_DATES_SQL}""")
+def order_dates_normalized_as_inferred(t):
+    orders = mixed_dates(t)
+    found = infer_date_formats(orders, "placed", _CANDIDATES).first()
+    return reformat(orders, ["placed"], Dates(tuple(found["input_formats"]), "yyyy-MM-dd"))
+
+
 _REPORTED = {
     **{name: NAMED_PATTERNS[name] for name in ("email", "us_phone", "iso_date", "url", "ipv4")},
     "word": word("the"),

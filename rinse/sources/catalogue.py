@@ -85,7 +85,7 @@ def preview_folder(spark: SparkSession, root: str, rows: int = PREVIEW_ROWS) ->
     """The first rows of every CSV file below a folder: ``file``, ``row``, then the columns.
 
     Tasks keep the first rows of the files they hold, so little is shuffled even if one file
-    makes up most of the folder.
+    makes up most of the folder. All files are read, though: ``preview`` is for a single one.
     """
     table = read_csv(spark, root, pathGlobFilter=ANY_CASE[CSV], recursiveFileLookup=True)
     start = F.col("_metadata.file_block_start")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rinse.errors import RESERVED_COLUMN, RinseError
-from rinse.operators.cells import ROW_ID
+from rinse.operators.cells import MATCHED, ROW_ID
+from rinse.plans.run import counts
 from rinse.sources.tables import ANY_CASE, CSV, CSV_OPTIONS
 
 
@@ -34,11 +35,15 @@ def clean_stream(
 ) -> StreamingQuery:
     """Append cleaned rows to a Parquet folder. Rows are independent, so no state is kept.
 
-    The checkpoint makes a restarted query go on where it stopped, each file exactly once.
+    The checkpoint makes a restarted query go on where it stopped, each file exactly once. The
+    progress of every batch carries its counts as the observed metric ``counts``.
     """
     if ROW_ID in stream.columns:
         raise RinseError(RESERVED_COLUMN, "Row ids cannot be assigned on a stream", [ROW_ID])
-    writer = build(stream).writeStream.format("parquet").outputMode("append")
+    cleaned = build(stream)
+    if MATCHED in cleaned.columns:
+        cleaned = cleaned.observe("counts", *counts())
+    writer = cleaned.writeStream.format("parquet").outputMode("append")
     writer = writer.option("checkpointLocation", checkpoint).option("path", output)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 

@@ -16,11 +16,14 @@ from tests.conftest import values
 
 def test_a_restarted_stream_takes_each_file_once(spark, tmp_path):
     output, checkpoint = scratch(spark, "stream"), scratch(spark, "checkpoint")
+    seen = []
 
     def finish():
         stream = csv_stream(spark, str(tmp_path), ["ID", "Email"], max_files=1)
         build = lambda df: mask(df, {"Email": ["email"]})
-        clean_stream(stream, build, output, checkpoint).awaitTermination()
+        query = clean_stream(stream, build, output, checkpoint)
+        query.awaitTermination()
+        seen.extend(dict(one.observedMetrics)["counts"] for one in query.recentProgress if one.numInputRows)
         return sorted(values(spark.read.parquet(output)))
 
     (tmp_path / "a.csv").write_text("ID,Email\n1,a@x.org\n2,\n")
@@ -29,6 +32,7 @@ def test_a_restarted_stream_takes_each_file_once(spark, tmp_path):
     (tmp_path / "b.csv").write_text("ID,Email\n3,none\n")
     assert finish()[2] == ("3", "none", False)
     assert len(finish()) == 3
+    assert [tuple(one) for one in seen] == [(2, 1), (1, 0)]
 
 
 def test_rules_are_the_same_on_both(spark, tmp_path):
