@@ -24,7 +24,9 @@ MAX_PAGE_SIZE = 500
 BUCKET_BITS = 20
 # Buckets are added up in blocks of this many bits' worth, then the blocks.
 BLOCK_BITS = 16
+# An offset takes three numbers, so up to four million buckets are broadcast.
 _OFFSET_BYTES = 48
+_OFFSETS_LIMIT = 192 * 1024 * 1024
 
 
 def _bucket() -> Column:
@@ -96,7 +98,7 @@ def number_rows(result: DataFrame) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy(named(ROW_ID)))
         rows, position = rows.withColumn("__rank", rank), F.col("__rank")
     offsets = bucket_offsets(counts).select("bucket", "before", "low")
-    joined = lookup(rows, offsets, "bucket", size=buckets * _OFFSET_BYTES)
+    joined = lookup(rows, offsets, "bucket", _OFFSETS_LIMIT, buckets * _OFFSET_BYTES)
     return joined.select(
         (F.col("before") + position).cast("long").alias(ROW_NUMBER), *map(named, result.columns)
     )

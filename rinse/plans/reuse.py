@@ -1,7 +1,7 @@
 """Answering requests from specifications that are already known.
 
 Requests and known answers carry the same ``fingerprint`` (see ``functions.text``). Known
-answers have one row per fingerprint; rows that are malformed count as unknown.
+answers have one row per fingerprint.
 """
 
 from __future__ import annotations
@@ -14,6 +14,14 @@ from rinse.operators.lookup import BROADCAST_BYTES, lookup
 KEY = "fingerprint"
 
 
+def well_formed(read: DataFrame) -> DataFrame:
+    """Stored suggestions after a reader of ``plans.suggestions``, without the malformed ones.
+
+    A stored entry that cannot be read is no answer; its request counts as unknown again.
+    """
+    return read.where(F.col("status") != "malformed")
+
+
 def answer_known(
     requests: DataFrame, known: DataFrame, limit: int = BROADCAST_BYTES
 ) -> DataFrame:

@@ -119,7 +119,7 @@ def classification_of_people(t):
 def people_masked_as_classified(t):
     people = _people(t)
     found = kinds_by_column(classify_columns(people, _PEOPLE_COLUMNS))
-    return mask(people, found).withColumn("name", F.regexp_replace("name", r"D\.$", "D."))
+    return mask(people, found)
 
 
 _CANDIDATES = ["MM/dd/yyyy", "yyyy-MM-dd", "dd/MM/yyyy", "MMM d, yyyy", "yyyyMMdd"]

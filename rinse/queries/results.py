@@ -47,10 +47,10 @@ def row_numbers_of_lineitems(t):
 
 @query("""
     SELECT row_number() OVER (ORDER BY o_orderkey) AS row_number, o_orderkey, o_custkey
-    FROM orders WHERE o_custkey % 3 <> 0""")
+    FROM orders WHERE o_orderpriority <> '1-URGENT'""")
 def row_numbers_after_a_filter(t):
     # The ids have gaps now, so numbers come from ranks inside buckets of ids.
-    kept = result_of_orders(t).where(F.col("o_custkey") % 3 != 0)
+    kept = result_of_orders(t).where(~F.col(MATCHED))
     return number_rows(stored(kept, "kept")).select("row_number", "o_orderkey", "o_custkey")
 
 
@@ -103,13 +103,17 @@ def page_index_of_matches(t):
 
 @query("""
     SELECT o_orderkey, o_custkey FROM orders
-    WHERE o_orderkey BETWEEN (SELECT min(o_orderkey) FROM orders WHERE o_custkey % 10 = 3)
-                         AND (SELECT max(o_orderkey) FROM orders WHERE o_custkey % 10 = 3)""")
+    WHERE o_orderkey BETWEEN
+        (SELECT min(o_orderkey) FROM orders WHERE o_custkey = (SELECT max(o_custkey) FROM orders))
+        AND (SELECT max(o_orderkey) FROM orders
+             WHERE o_custkey = (SELECT max(o_custkey) FROM orders))""")
 def orders_in_an_id_range(t):
     # Ids stand for the order of the keys; the filter reaches the Parquet row groups.
     result = result_of_orders(t)
-    ends = result.where(F.col("o_custkey") % 10 == 3).agg(F.min(ROW_ID), F.max(ROW_ID)).first()
-    return id_range(result, ends[0], ends[1]).select("o_orderkey", "o_custkey")
+    last_customer = result.agg(F.max("o_custkey")).first()[0]
+    theirs = result.where(F.col("o_custkey") == last_customer)
+    low, high = theirs.agg(F.min(ROW_ID), F.max(ROW_ID)).first()
+    return id_range(result, low, high).select("o_orderkey", "o_custkey")
 
 
 _SAMPLE_SQL = """

@@ -8,7 +8,7 @@ from rinse.functions import masks
 from rinse.functions.patterns import NAMED_PATTERNS
 from rinse.functions.text import fingerprint, samples_text, squeeze
 from rinse.plans.audit import audit_patterns
-from rinse.plans.reuse import answer_known, still_unknown
+from rinse.plans.reuse import answer_known, still_unknown, well_formed
 from rinse.plans.suggestions import read_classifications, read_normalizations, read_patterns
 from rinse.plans.validation import date_problem, replacement_problem
 from rinse.queries.registry import query, quoted
@@ -206,12 +206,11 @@ def audited_patterns_of_documents(t):
 
 
 @query()
-def audited_words_of_documents(t):
-    """Is the first line of each document, taken as a pattern, safe to run?"""
-    line = F.substring(F.regexp_replace(F.split_part("text", F.lit("\n"), F.lit(1)), r"\.", "+"), 1, 120)
-    return audit_patterns(t.documents.select("doc_id", line.alias("pattern"))).select(
-        "doc_id", "ok", "code", "message"
-    )
+def audited_texts_of_conversations(t):
+    """Would the text of each turn, taken as a pattern, be safe to run?"""
+    pattern = F.translate("text", ".,", "+*").alias("pattern")
+    audited = audit_patterns(t.conversations.select("conv_id", "turn", pattern))
+    return audited.select("conv_id", "turn", "ok", "code", "message")
 
 
 # --- fingerprints and reuse -------------------------------------------------------------
@@ -247,12 +246,12 @@ def fingerprints_with_samples(t):
 _KNOWN_SQL = f"""
     requests AS (SELECT conv_id, turn, {_FINGERPRINT} AS fingerprint FROM conversations),
     known AS (SELECT fingerprint, min(conv_id * 1000 + turn) AS answer FROM requests
-              WHERE conv_id % 3 = 0 GROUP BY 1)"""
+              WHERE turn = 0 GROUP BY 1)"""
 
 
 def _known(t):
-    """Answers given before: to what every third conversation asked."""
-    asked = _requests(t).where(F.col("conv_id") % 3 == 0)
+    """Answers given before: to everything a conversation began with."""
+    asked = _requests(t).where(F.col("turn") == 0)
     answer = F.min(F.col("conv_id") * 1000 + F.col("turn")).alias("answer")
     return asked.groupBy("fingerprint").agg(answer)
 
@@ -281,3 +280,16 @@ def requests_answered_without_broadcast(t):
     GROUP BY 1""")
 def requests_still_unknown(t):
     return still_unknown(_requests(t), _known(t))
+
+
+@query(f"""
+    WITH {_KNOWN_SQL}, judged AS (
+        SELECT fingerprint, {_case_sql("answer", [one[1] for one in _NORMALIZATIONS])} AS status
+        FROM known)
+    SELECT conv_id, turn, status, status IS NOT NULL AS cached
+    FROM requests LEFT JOIN (SELECT * FROM judged WHERE status <> 'malformed') USING (fingerprint)""")
+def stored_suggestions_checked_on_use(t):
+    suggestion = _case(F.col("answer"), [one[0] for one in _NORMALIZATIONS])
+    known = _known(t).select("fingerprint", suggestion.alias("suggestion"))
+    usable = well_formed(read_normalizations(known)).select("fingerprint", "status")
+    return answer_known(_requests(t), usable).select("conv_id", "turn", "status", "cached")
