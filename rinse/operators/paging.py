@@ -87,7 +87,8 @@ def number_rows(result: DataFrame) -> DataFrame:
     """Put the dense ``row_number`` (from 1, in id order) in front.
 
     With ids as Spark assigns them the rows are not shuffled at all. Where ids were removed
-    since, rows are ranked inside their bucket, which bounds every group.
+    since, rows are ranked inside their bucket, which bounds every group. The result must be a
+    table that was written, so that its ids are the same each time it is read.
     """
     counts = bucket_counts(result)
     dense, buckets = _measure(counts)
@@ -117,10 +118,9 @@ def number_rows_by(df: DataFrame, keys: Sequence[str | Column]) -> DataFrame:
 
 def page_index(result: DataFrame, page_size: int) -> DataFrame:
     """One row ``(page, first_id, last_id, rows)`` per page, to serve any page by id range."""
-    counts = bucket_counts(result)
-    size = F.lit(clamp_page_size(page_size)).cast("long")
-    if not _measure(counts)[0]:
-        page = F.floor((F.col(ROW_NUMBER) - 1) / size).cast("long") + 1
+    offsets, size = offsets_of(result), clamp_page_size(page_size)
+    if not _measure(offsets)[0]:
+        page = F.expr(f"({ROW_NUMBER} - 1) div {size} + 1")
         return (
             number_rows(result.select(named(ROW_ID)))
             .groupBy(page.alias("page"))
@@ -131,9 +131,8 @@ def page_index(result: DataFrame, page_size: int) -> DataFrame:
             )
         )
     # Each bucket lists the pages it holds rows of; the rows themselves play no role.
-    first_page = F.floor(F.col("before") / size).cast("long")
-    last_page = F.floor((F.col("before") + F.col("rows") - 1) / size).cast("long")
-    parts = bucket_offsets(counts).withColumn("at", F.explode(F.sequence(first_page, last_page)))
+    at = F.expr(f"explode(sequence(before div {size}, (before + rows - 1) div {size}))")
+    parts = offsets.withColumn("at", at)
     from_row = F.greatest(F.col("at") * size, F.col("before"))
     to_row = F.least(F.col("at") * size + size, F.col("before") + F.col("rows")) - 1
     parts = parts.select(

@@ -15,7 +15,7 @@ from rinse.errors import INVALID_SPEC, RinseError
 from rinse.functions import masks
 from rinse.functions.dates import read_date
 from rinse.operators.cells import named, present
-from rinse.operators.find_replace import check_java_pattern, found
+from rinse.operators.find_replace import check_java_pattern, found, may_match
 from rinse.operators.mask import IN_TEXT, KINDS
 
 # --- personal data ----------------------------------------------------------------------
@@ -34,10 +34,16 @@ def _whole(pattern: str) -> Callable[[Column], Column]:
     return lambda value: (F.length(value) <= _LONGEST_VALUE) & value.rlike(pattern)
 
 
+def _phone_beside_cards(value: Column) -> Column:
+    """A phone number that is not part of a card number."""
+    without = masks.has_phone(masks.mask_card(value))
+    return F.when(masks.has_card(value), without).otherwise(masks.has_phone(value))
+
+
 # ``other`` has no form to look for; a user adds it by hand.
 DETECTORS: dict[str, Callable[[Column], Column]] = {
     "email": masks.has_email,
-    "phone": lambda value: masks.has_phone(masks.mask_card(value)),
+    "phone": _phone_beside_cards,
     "person_name": _whole(_PERSON),
     "credit_card": masks.has_card,
     "identifier": _whole(_IDENTIFIER),
@@ -175,14 +181,17 @@ def pattern_counts(
     names = present(df, columns)
     for one in patterns.values():
         check_java_pattern(df.sparkSession, one)
-    sums, rows = [], []
+    found_times, sums, rows = [], [], []
     for at, name in enumerate(names):
         value = named(name).cast("string")
         for number, (label, one) in enumerate(patterns.items()):
-            hit = found(value, one)
-            times = F.when(hit, F.regexp_count(value, F.lit(one)))
+            times, possible = F.regexp_count(value, F.lit(one)), may_match(value, one)
+            if possible is not None:
+                times = F.when(possible, times).otherwise(0)
             key = f"{at}_{number}"
-            sums += [F.count_if(hit).alias(f"r{key}"), F.sum(times).alias(f"m{key}")]
+            found_times.append(times.alias(f"t{key}"))
+            sums.append(F.count_if(F.col(f"t{key}") > 0).alias(f"r{key}"))
+            sums.append(F.sum(f"t{key}").alias(f"m{key}"))
             rows.append(
                 F.struct(
                     F.lit(name).alias("column"),
@@ -193,7 +202,7 @@ def pattern_counts(
             )
     if not rows:
         raise RinseError(INVALID_SPEC, "Give at least one column and one pattern")
-    return df.agg(*sums).select(F.inline(F.array(*rows)))
+    return df.select(*found_times).agg(*sums).select(F.inline(F.array(*rows)))
 
 
 def pattern_examples(
@@ -217,9 +226,8 @@ def pattern_examples(
                     first.alias("example"),
                 )
             )
-    hits = df.select(
-        F.inline(F.filter(F.array(*candidates), lambda hit: hit["example"].isNotNull()))
-    )
+    cells = df.select(F.inline(F.array(*candidates)))
+    hits = cells.where(F.col("example").isNotNull())
     order = Window.partitionBy("column", "pattern").orderBy("key")
     ranked = hits.withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= count).select("column", "pattern", "rank", "example")
