@@ -1,7 +1,15 @@
 """Cleaning text columns of tables of any size with Spark."""
 
 from rinse.errors import RinseError
-from rinse.operators.cells import MATCHED, ROW_ID, Cell, clean, clean_alike, user_columns
+from rinse.operators.cells import (
+    MATCHED,
+    ROW_ID,
+    Cell,
+    clean,
+    clean_alike,
+    user_columns,
+    with_row_id,
+)
 from rinse.operators.find_replace import find_replace, replacing
 from rinse.operators.mask import mask, masking
 from rinse.operators.paging import number_rows, number_rows_by, page_index, read_page
@@ -20,7 +28,7 @@ from rinse.plans.specs import Dates, Replace, Rules
 from rinse.session import configure
 from rinse.sources.catalogue import file_page, list_files, preview, preview_folder
 from rinse.sources.customers import customers
-from rinse.sources.tables import read_csv, read_folder, read_source, with_row_id
+from rinse.sources.tables import read_csv, read_folder, read_source
 from rinse.sources.workbooks import read_xlsx
 from rinse.streaming.streams import clean_stream, csv_stream, windowed_matches
 

@@ -61,7 +61,9 @@ def lookup(
     # same one, and equal rows from different tasks still part ways.
     dealt = F.pmod(F.xxhash64(F.spark_partition_id(), *map(named, rows.columns)), F.lit(SALTS))
     salted = rows.withColumn(salt, dealt.cast("int")).join(marked, key, "left")
-    salted = salted.withColumn(salt, F.when(F.col(hot), F.col(salt)).otherwise(0)).drop(hot)
+    # Rows without a key find nothing, wherever they go, so they are dealt out as well.
+    apart = F.col(hot) | named(key).isNull()
+    salted = salted.withColumn(salt, F.when(apart, F.col(salt)).otherwise(0)).drop(hot)
     copies = F.when(F.col(hot), F.sequence(F.lit(0), F.lit(SALTS - 1)))
     copied = answers.join(marked, key, "left").withColumn(
         salt, F.explode(F.coalesce(copies, F.array(F.lit(0))))

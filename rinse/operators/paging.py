@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rinse.operators.cells import MATCHED, ROW_ID, named
+from rinse.operators.cells import MATCHED, ROW_ID, named, with_row_id
 from rinse.operators.lookup import lookup
 from rinse.session import stored
 
@@ -108,12 +108,13 @@ def number_rows(result: DataFrame) -> DataFrame:
 def number_rows_by(df: DataFrame, keys: Sequence[str | Column]) -> DataFrame:
     """Number the rows in the order of the keys: a range sort, then as ``number_rows``.
 
-    The sorted rows are written to the shared folder, since a repeated sort may cut its ranges
-    elsewhere. Many rows that agree in all keys end up in one range; give keys that tell rows
-    apart.
+    Rows that agree in all keys keep the order they were read in. That makes every row's place
+    unique, so the ranges of the sort are even, however many rows share a key. The sorted rows
+    are written to the shared folder, since a repeated sort may cut its ranges elsewhere.
     """
-    ordered = df.orderBy(*keys).select(F.monotonically_increasing_id().alias(ROW_ID), "*")
-    return number_rows(stored(ordered, "ordered")).drop(ROW_ID)
+    tie = "__tie"
+    ordered = df.withColumn(tie, F.monotonically_increasing_id()).orderBy(*keys, tie).drop(tie)
+    return number_rows(stored(with_row_id(ordered), "ordered")).drop(ROW_ID)
 
 
 def page_index(result: DataFrame, page_size: int) -> DataFrame:

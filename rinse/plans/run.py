@@ -8,10 +8,10 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from rinse.operators.cells import MATCHED, named
+from rinse.operators.cells import MATCHED, named, with_row_id
 from rinse.operators.find_replace import find_replace
 from rinse.plans.specs import Replace
-from rinse.sources.tables import read_flags, read_source, with_row_id, write_parquet
+from rinse.sources.tables import read_flags, read_source, write_parquet
 
 
 class Stats(NamedTuple):

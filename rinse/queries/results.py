@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rinse.operators.cells import MATCHED, ROW_ID
+from rinse.operators.cells import MATCHED, ROW_ID, with_row_id
 from rinse.operators.find_replace import find_replace
 from rinse.operators.paging import id_range, number_rows, number_rows_by, page_index, read_page
 from rinse.operators.sampling import sample_values
@@ -12,7 +12,6 @@ from rinse.plans.run import count_result, write_counted
 from rinse.queries.registry import query
 from rinse.queries.transforms import EMAIL
 from rinse.session import scratch, stored
-from rinse.sources.tables import with_row_id
 
 LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"]
 

@@ -1,4 +1,4 @@
-"""CSV in, Parquet out, and the row id in between. Every source column is a string."""
+"""CSV and workbooks in, Parquet out. Every source column is a string."""
 
 from __future__ import annotations
 
@@ -8,14 +8,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rinse.errors import (
-    RESERVED_COLUMN,
-    SOURCE_READ_ERROR,
-    UNSUPPORTED_FILE_TYPE,
-    RinseError,
-    first_line,
-)
-from rinse.operators.cells import MATCHED, RESERVED, ROW_ID
+from rinse.errors import SOURCE_READ_ERROR, UNSUPPORTED_FILE_TYPE, RinseError, first_line
+from rinse.operators.cells import MATCHED
 from rinse.sources.workbooks import read_xlsx
 
 CSV = "csv"
@@ -92,14 +86,6 @@ def read_folder(spark: SparkSession, path: str, kinds: tuple[str, ...] = (CSV, X
     return whole
 
 
-def with_row_id(df: DataFrame) -> DataFrame:
-    """Put an increasing id in front, without a shuffle. Only for a table as it was read."""
-    taken = [name for name in df.columns if name in RESERVED]
-    if taken:
-        raise RinseError(RESERVED_COLUMN, f"Reserved column names: {', '.join(taken)}", taken)
-    return df.select(F.monotonically_increasing_id().alias(ROW_ID), "*")
-
-
 def write_parquet(df: DataFrame, path: str) -> None:
     """Replace whatever an earlier run left at the path."""
     df.write.mode("overwrite").parquet(path)

@@ -18,6 +18,7 @@ from rinse import (
     write_counted,
 )
 from rinse.operators import lookup as lookups
+from rinse.operators import paging
 from rinse.operators.lookup import fits_broadcast, hot_keys, lookup
 from rinse.operators.paging import clamp_page_size, id_range, offsets_of, total_pages
 from rinse.session import scratch, stored
@@ -91,6 +92,27 @@ def test_numbers_by_key_with_a_hot_key(spark):
     assert [n for n, _, _ in found] == list(range(1, 401))
 
 
+@pytest.fixture
+def as_planned(spark):
+    """Small partitions stay apart, so a test can see where rows go."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.set(key, before)
+
+
+def test_numbers_by_a_key_that_all_rows_share(spark, monkeypatch, as_planned):
+    rows = spark.range(0, 3000, 1, 3).select(F.lit("same").alias("k"), F.col("id").alias("v"))
+    written = []
+    keep = paging.stored
+    monkeypatch.setattr(paging, "stored", lambda df, label: written.append(keep(df, label)) or written[-1])
+    found = number_rows_by(rows, ["k"])
+    assert all(row["v"] + 1 == row["row_number"] for row in found.collect())
+    tasks = written[0].groupBy(F.shiftright(ROW_ID, 33)).count()
+    assert max(row["count"] for row in tasks.collect()) < 1500, "the sort must split equal keys"
+
+
 def test_ids_of_a_split_file_follow_the_rows(spark, write_csv):
     path = write_csv("ID,Email\n" + "".join(f"{i},user{i}@example.com\n" for i in range(5000)))
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
@@ -188,23 +210,26 @@ def test_lookup_with_a_hot_key(spark, limit, monkeypatch):
     assert all(a == {7: "hot", 10: "ten"}.get(k) for k, _, a in got)
 
 
-def test_hot_keys_are_few_and_spread(spark):
+def test_hot_keys_are_few_and_spread(spark, as_planned):
     keys = F.when(F.col("id") < 400, "hot").otherwise(F.col("id").cast("string"))
     rows = spark.range(0, 1000, 1, 8).select(keys.alias("k"))
     assert values(hot_keys(rows, "k")) == [("hot",)]
     answers = spark.createDataFrame([("hot", 1), ("999", 2)], "k string, a long")
     found = lookup(rows, answers, "k", limit=0)
     assert found.count() == 1000 and found.where("a = 2").count() == 1
-    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        spread = found.groupBy(F.spark_partition_id().alias("task"), "k", "a").count().where("k = 'hot'")
-        counts = [row["count"] for row in spread.collect()]
-    finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    spread = found.groupBy(F.spark_partition_id().alias("task"), "k", "a").count().where("k = 'hot'")
+    counts = [row["count"] for row in spread.collect()]
     assert sum(counts) == 400 and len(counts) > 1
 
 
+def test_lookup_of_rows_without_a_key(spark):
+    rows = spark.range(0, 300, 1, 4).select("id", F.when(F.col("id") < 5, "a").alias("k"))
+    answers = spark.createDataFrame([("a", 1), (None, 2)], "k string, a long")
+    for limit in (0, 10**6):
+        found = {row["id"]: row["a"] for row in lookup(rows, answers, "k", limit).collect()}
+        assert found == {n: 1 if n < 5 else None for n in range(300)}
+
+
 def test_measuring_a_table(spark):
     df = spark.createDataFrame([("x" * 1000, [1, 2])], "s string, a array<int>")
     assert not fits_broadcast(df, 1000) and fits_broadcast(df, 2000)

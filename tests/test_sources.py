@@ -57,6 +57,12 @@ def test_csv_is_all_strings_and_empty_cells_are_null(spark, write_csv):
     assert values(df) == [("001", "1.50", 'x "y", z'), ("002", None, "é")]
 
 
+def test_byte_order_mark_is_no_part_of_the_header(spark, write_csv):
+    path = write_csv("\ufeffID,V\n1,x\n")
+    assert read_csv(spark, path).columns == ["ID", "V"]
+    assert values(read_csv(spark, path, multi_line=True).select("ID")) == [("1",)]
+
+
 def test_line_breaks_only_if_asked_for(spark, write_csv):
     path = write_csv('ID,V\n1,"a\nb"\n')
     assert values(read_csv(spark, path, multi_line=True)) == [("1", "a\nb")]
