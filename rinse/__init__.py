@@ -12,7 +12,13 @@ from rinse.operators.cells import (
 )
 from rinse.operators.find_replace import find_replace, replacing
 from rinse.operators.mask import mask, masking
-from rinse.operators.paging import number_rows, number_rows_by, page_index, read_page
+from rinse.operators.paging import (
+    number_rows,
+    number_rows_by,
+    number_rows_of_files,
+    page_index,
+    read_page,
+)
 from rinse.operators.profile import (
     classify_columns,
     infer_date_formats,

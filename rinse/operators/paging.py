@@ -117,6 +117,16 @@ def number_rows_by(df: DataFrame, keys: Sequence[str | Column]) -> DataFrame:
     return number_rows(stored(with_row_id(ordered), "ordered")).drop(ROW_ID)
 
 
+def number_rows_of_files(df: DataFrame) -> DataFrame:
+    """Number the rows of a table just read from files: file by file, as they stand in them.
+
+    Row ids alone do not tell, since Spark packs the splits of several files by size.
+    """
+    keys = {"__file": "_metadata.file_path", "__start": "_metadata.file_block_start"}
+    placed = df.select("*", *(F.col(source).alias(name) for name, source in keys.items()))
+    return number_rows_by(placed, list(keys)).drop(*keys)
+
+
 def page_index(result: DataFrame, page_size: int) -> DataFrame:
     """One row ``(page, first_id, last_id, rows)`` per page, to serve any page by id range."""
     offsets, size = offsets_of(result), clamp_page_size(page_size)

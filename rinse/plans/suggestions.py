@@ -91,7 +91,8 @@ def _status(malformed: Column, feasible: Column) -> Column:
 
 def _explained(explanation: Column) -> list[Column]:
     invalid = F.col("__status") == "invalid"
-    message = F.when(F.col("__status") == "infeasible", explanation).when(invalid, F.col("__bad.message"))
+    message = F.when(F.col("__status") == "infeasible", explanation)
+    message = message.when(invalid, F.col("__bad.message"))
     return [F.when(invalid, F.col("__bad.code")).alias("code"), message.alias("message")]
 
 
@@ -128,19 +129,16 @@ def read_classifications(df: DataFrame, allowed: Column, column: str = "suggesti
     known = F.array(*map(F.lit, (*KINDS, NO_KIND)))
     s = F.col("__s")
     entries = s["columns"]
-    malformed = _any(
-        s["explanation"].isNull(),
-        F.exists(
-            entries,
-            lambda e: F.coalesce(
-                e["column"].isNull()
-                | (F.size(e["pii_types"]) > len(KINDS) + 1)
-                | F.exists(e["pii_types"], lambda k: ~F.array_contains(known, F.coalesce(k, F.lit(""))))
-                ,
-                F.lit(True),
-            ),
-        ),
-    )
+
+    def strange(entry: Column) -> Column:
+        kinds = entry["pii_types"]
+        return _any(
+            entry["column"].isNull(),
+            F.size(kinds) > len(KINDS) + 1,
+            F.exists(kinds, lambda kind: ~F.array_contains(known, F.coalesce(kind, F.lit("")))),
+        )
+
+    malformed = _any(s["explanation"].isNull(), F.exists(entries, strange))
     listed = F.array_intersect(F.transform(entries, lambda e: e["column"]), allowed)
     spec = F.transform(
         listed,

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from rinse.operators.cells import user_columns
 from rinse.operators.find_replace import find_replace
 from rinse.operators.mask import mask
+from rinse.operators.paging import number_rows_of_files
 from rinse.operators.reformat import reformat
 from rinse.plans.run import round_trip, run_replace
 from rinse.plans.specs import Dates, Replace
@@ -77,6 +78,15 @@ def folders_as_one_table(t):
     return read_folder(t.spark, root, kinds=("csv",))
 
 
+@query("""
+    SELECT row_number() OVER (ORDER BY o_orderkey) AS row_number, o_orderkey::VARCHAR AS o_orderkey,
+           o_orderpriority FROM orders""")
+def row_numbers_across_files(t):
+    # The parts of a sorted table are files named in the order of the keys.
+    orders = t.plain("orders").select("o_orderkey", "o_orderpriority").orderBy("o_orderkey")
+    return number_rows_of_files(read_csv(t.spark, _as_csv(orders, "orders-csv")))
+
+
 @query(r"""
     SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'csv' WHEN 1 THEN 'csv' WHEN 2 THEN 'xlsx' END
         AS file_type FROM pages""")
@@ -277,7 +287,8 @@ def daily_matches_on_a_stream(t):
     events = t.events.select(F.col("ts").cast("timestamp").alias("ts"), "props")
     events.write.parquet(f"{folder}/a")
     latest = events.agg(F.max("ts").alias("ts"))
-    closing = latest.select((F.col("ts") + F.expr("INTERVAL 60 DAYS")).alias("ts"), F.lit("").alias("props"))
+    later = (F.col("ts") + F.expr("INTERVAL 60 DAYS")).alias("ts")
+    closing = latest.select(later, F.lit("").alias("props"))
     closing.write.parquet(f"{folder}/b")
     stream = (
         t.spark.readStream.schema(events.schema)

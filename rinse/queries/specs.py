@@ -40,9 +40,9 @@ def _case_sql(key: str, options: list) -> str:
                ELSE ';source=identifier' END AS spec
     FROM seen""")
 def classifications_of_documents(t):
-    def kinds(name, kind):
-        listed = F.when(name, F.array(F.lit(kind), F.lit("none"))).otherwise(F.array(F.lit("none")))
-        return listed
+    def kinds(seen, kind):
+        none = F.array(F.lit("none"))
+        return F.when(seen, F.array(F.lit(kind), F.lit("none"))).otherwise(none)
 
     def entry(column, pii_types):
         return F.struct(F.lit(column).alias("column"), pii_types.alias("pii_types"))
@@ -61,7 +61,9 @@ def classifications_of_documents(t):
         "doc_id", F.when(F.col("doc_id") % 11 == 0, broken).otherwise(whole).alias("suggestion")
     )
     allowed = F.array(F.lit("lang"), F.lit("source"), F.lit("text"))
-    parts = F.transform("spec", lambda one: F.concat(one["column"], F.lit("="), F.array_join(one["kinds"], "+")))
+    parts = F.transform(
+        "spec", lambda one: F.concat(one["column"], F.lit("="), F.array_join(one["kinds"], "+"))
+    )
     text = F.filter(parts, lambda one: one.startswith("text"))
     rest = F.filter(parts, lambda one: ~one.startswith("text"))
     shown = F.concat(

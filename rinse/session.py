@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # AQE handles skewed joins and the number of reduce tasks. Inputs are cut so that every core
 # gets a few tasks; a large input still gets splits of the full maxPartitionBytes.

@@ -12,6 +12,7 @@ from rinse import (
     file_page,
     find_replace,
     list_files,
+    number_rows_of_files,
     preview,
     preview_folder,
     read_csv,
@@ -79,6 +80,15 @@ def test_files_of_a_folder_must_agree(spark, tmp_path):
         read_csv(spark, str(tmp_path)).collect()
 
 
+def test_numbers_across_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("v\n1\n2\n")
+    (tmp_path / "b.csv").write_text("v\n" + "".join(f"{n}\n" for n in range(3, 3000)))
+    (tmp_path / "c.csv").write_text("v\n3000\n")
+    found = number_rows_of_files(read_csv(spark, str(tmp_path)))
+    assert found.columns == ["row_number", "v"]
+    assert sorted(values(found)) == [(n, str(n)) for n in range(1, 3001)]
+
+
 def test_missing_file(spark, tmp_path):
     with pytest.raises(RinseError) as caught:
         read_source(spark, str(tmp_path / "none.csv"))
