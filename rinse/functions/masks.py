@@ -12,17 +12,24 @@ EMAIL = r"([A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*(@[A-Za-z0-9.-]+\.[A-Za-z]{2,})"
 NAME = r"(\p{L})[\p{L}'’-]*"
 REDACTED = "[REDACTED]"
 
-# How every card and phone number ends: quick to look for before the whole pattern.
+# What every card and phone number ends in, tried first: most text has nothing like it, and it
+# is quick to rule out. A text has a phone number exactly if it has the end of one.
 _CARD_END = r"\d[ -]?\d{4}\b"
-_PHONE_END = r"\d{3}[\s.-]?\d{4}\b"
+_PHONE_END = r"\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}\b"
+_CARD_LENGTH = 16
+_PHONE_LENGTH = 10
+
+
+def may_have_card(value: Column) -> Column:
+    return (F.length(value) >= _CARD_LENGTH) & value.rlike(_CARD_END)
 
 
 def has_card(value: Column) -> Column:
-    return value.rlike(_CARD_END) & value.rlike(CARD)
+    return may_have_card(value) & value.rlike(CARD)
 
 
 def has_phone(value: Column) -> Column:
-    return value.rlike(_PHONE_END) & value.rlike(PHONE)
+    return (F.length(value) >= _PHONE_LENGTH) & value.rlike(_PHONE_END)
 
 
 def has_email(value: Column) -> Column:
@@ -32,13 +39,13 @@ def has_email(value: Column) -> Column:
 def mask_card(value: Column) -> Column:
     """Keep the last four digits of every card number in the text."""
     masked = F.regexp_replace(value, CARD, "**** **** **** $1")
-    return F.when(value.rlike(_CARD_END), masked).otherwise(value)
+    return F.when(may_have_card(value), masked).otherwise(value)
 
 
 def mask_phone(value: Column) -> Column:
     """Keep the last four digits of every phone number in the text."""
     masked = F.regexp_replace(value, PHONE, "***-***-$1")
-    return F.when(value.rlike(_PHONE_END), masked).otherwise(value)
+    return F.when(has_phone(value), masked).otherwise(value)
 
 
 def mask_email(value: Column) -> Column:

@@ -59,12 +59,12 @@ def replace_digits_in_numbers(t):
 
 
 @query("""
-    SELECT c_custkey, replace(c_name, 'Customer', 'Client') AS "c.na`me",
+    SELECT c_custkey, replace(c_name, 'Customer', 'Client') AS c_name,
            contains(c_name, 'Customer') AS __matched
     FROM customer""")
 def replace_in_oddly_named_column(t):
     odd = t.customer.select("c_custkey", F.col("c_name").alias("c.na`me"))
-    return find_replace(odd, ["c.na`me"], "Customer", "Client")
+    return find_replace(odd, ["c.na`me"], "Customer", "Client").toDF("c_custkey", "c_name", MATCHED)
 
 
 @query("SELECT c_custkey, c_name, false AS __matched FROM customer")
