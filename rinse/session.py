@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,15 +31,31 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh folder path that all executors share, below ``spark.checkpoint.dir``."""
+    """A fresh folder path that all executors share, below ``spark.checkpoint.dir``.
+
+    The folders of one application lie together, so ``release`` can remove them.
+    """
+    return f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _own_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        if not context.master.startswith("local"):
-            raise ValueError("Set spark.checkpoint.dir to a folder all executors can reach")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="rinse-"))
-        root = context.getCheckpointDir()
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        raise ValueError("Set spark.checkpoint.dir to a folder that all executors can reach")
+    return f"{root.rstrip('/')}/rinse-{context.applicationId}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate rows that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results read from them are gone too."""
+    remove(spark, _own_folder(spark))
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
