@@ -5,13 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from rinse.llm import oracles, quality
+from rinse.llm.decontaminate import contamination
+from rinse.llm.merkle import edited_fingerprints
 from rinse.llm.packing import pack_documents
+from rinse.llm.preferences import preference_turns
 from rinse.llm.token_files import read_tokens, write_tokens
+from rinse.llm.url_filter import judge, write_rules
+from rinse.llm.warc import read_records, write_pages
 from rinse.session import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_url_filter": oracles.URL_FILTER,
+    "op5_warc": oracles.WARC,
+    "op6_decontamination": oracles.DECONTAMINATION,
+    "op9_preferences": oracles.PREFERENCES,
+    "op10_merkle": oracles.MERKLE,
+}
 
 
 def query(build: Callable[[SparkSession, Callable[[str], DataFrame]], DataFrame]):
@@ -24,6 +37,22 @@ def query(build: Callable[[SparkSession, Callable[[str], DataFrame]], DataFrame]
     return build
 
 
+URL_RULES = [
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+]
+
+
+@query
+def op1_url_filter(spark, table):
+    folder = scratch(spark, "rules")
+    write_rules(spark.createDataFrame(URL_RULES, "host string, path string, verdict string"), folder)
+    judged = judge(table("pages").select("page_id", "url"), folder)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 @query
 def op2_token_files(spark, table):
     folder = scratch(spark, "tokens")
@@ -34,3 +63,41 @@ def op2_token_files(spark, table):
 @query
 def op3_best_fit_packing(spark, table):
     return pack_documents(table("documents"))
+
+
+@query
+def op5_warc(spark, table):
+    folder = scratch(spark, "archives")
+    write_pages(table("pages"), folder)
+    records = read_records(spark, folder, payload=False, verify=True)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op6_decontamination(spark, table):
+    found = contamination(table("documents"), table("benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query
+def op8_quality(spark, table):
+    docs = table("documents")
+    model = quality.train(docs, table("labels"))
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    predicted = (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", predicted)
+
+
+@query
+def op9_preferences(spark, table):
+    """Each conversation with an even id is chosen over the next one."""
+    turns = table("conversations")
+    pair = F.floor(F.col("conv_id") / 2)
+    pairs = turns.select((2 * pair).alias("pair_id")).distinct()
+    pairs = pairs.select("pair_id", F.col("pair_id").alias("chosen"), (F.col("pair_id") + 1).alias("rejected"))
+    return preference_turns(turns, pairs)
+
+
+@query
+def op10_merkle(spark, table):
+    return edited_fingerprints(table("documents"))
