@@ -70,6 +70,32 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(ite
 FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)
 """
 
+NEAR_DUPLICATES = rf"""
+WITH RECURSIVE docs AS MATERIALIZED (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS ws
+    FROM documents
+), shingles AS MATERIALIZED (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 1 THEN ws
+        ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS shingle
+    FROM docs WHERE len(ws) > 0
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+    FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS MATERIALIZED (
+    SELECT s.a, s.b FROM shared s JOIN sizes x ON x.doc_id = s.a JOIN sizes y ON y.doc_id = s.b
+    WHERE 100 * s.n >= 80 * (x.n + y.n - s.n)
+), reached(a, b) AS (
+    SELECT doc_id, doc_id FROM docs
+    UNION SELECT r.a, l.b FROM reached r JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) l ON l.a = r.b
+), roots AS (
+    SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM roots LEFT JOIN sizes USING (doc_id)
+"""
+
 PREFERENCES = """
 WITH turns AS (
     SELECT conv_id // 2 * 2 AS pair_id, conv_id % 2 = 0 AS chosen, turn, role, text,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rinse.llm import oracles, quality
 from rinse.llm.decontaminate import contamination
 from rinse.llm.merkle import edited_fingerprints
+from rinse.llm.minhash import near_duplicates
 from rinse.llm.packing import pack_documents
 from rinse.llm.preferences import preference_turns
 from rinse.llm.token_files import read_tokens, write_tokens
@@ -22,6 +23,7 @@ SQL: dict[str, str] = {
     "op1_url_filter": oracles.URL_FILTER,
     "op5_warc": oracles.WARC,
     "op6_decontamination": oracles.DECONTAMINATION,
+    "op7_near_duplicates": oracles.NEAR_DUPLICATES,
     "op9_preferences": oracles.PREFERENCES,
     "op10_merkle": oracles.MERKLE,
 }
@@ -79,6 +81,12 @@ def op6_decontamination(spark, table):
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+@query
+def op7_near_duplicates(spark, table):
+    found = near_duplicates(table("documents"), words=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @query
 def op8_quality(spark, table):
     docs = table("documents")
