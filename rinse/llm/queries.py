@@ -13,6 +13,7 @@ from rinse.llm.merkle import edited_fingerprints
 from rinse.llm.minhash import near_duplicates
 from rinse.llm.packing import pack_documents
 from rinse.llm.preferences import preference_turns
+from rinse.llm.suffix_dedup import remove_repeats
 from rinse.llm.token_files import read_tokens, write_tokens
 from rinse.llm.url_filter import judge, write_rules
 from rinse.llm.warc import read_records, write_pages
@@ -67,6 +68,11 @@ def op3_best_fit_packing(spark, table):
     return pack_documents(table("documents"))
 
 
+@query
+def op4_suffix_dedup(spark, table):
+    return remove_repeats(table("documents"))
+
+
 @query
 def op5_warc(spark, table):
     folder = scratch(spark, "archives")
