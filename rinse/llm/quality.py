@@ -23,7 +23,7 @@ BUCKETS = 1 << 14
 FIGURES = 10
 FACTORS = 8
 SAMPLE = 4000
-EPOCHS = 12
+EPOCHS, STEPS = 12, 400  # at least so many of each
 THRESHOLD = 0.3
 _SLICE = 1 << 22  # bytes of text turned into features at once
 _KINDS = ("upper", "digit", "exclaim", "line", "beyond", "sign")
@@ -148,7 +148,7 @@ def fit(features, labels: np.ndarray, weights: np.ndarray, epochs: int = EPOCHS,
     stops = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))])
     past = np.full(size, 1e-3), np.full((size, FACTORS), 1e-3)
     past_bias, rate, decay = 1e-3, 0.1, 1e-4
-    for _ in range(epochs if n else 0):
+    for _ in range(max(epochs, -(-STEPS * batch // n)) if n else 0):
         shuffled = random.permutation(n)
         for start in range(0, n, batch):
             chosen = shuffled[start : start + batch]
