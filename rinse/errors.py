@@ -5,6 +5,7 @@ from __future__ import annotations
 COLUMN_NOT_FOUND = "COLUMN_NOT_FOUND"
 RESERVED_COLUMN = "RESERVED_COLUMN"
 SOURCE_READ_ERROR = "SOURCE_READ_ERROR"
+STORAGE_UNAVAILABLE = "STORAGE_UNAVAILABLE"
 UNSUPPORTED_FILE_TYPE = "UNSUPPORTED_FILE_TYPE"
 PREVIEW_UNAVAILABLE = "PREVIEW_UNAVAILABLE"
 INVALID_PATTERN = "INVALID_PATTERN"

@@ -9,7 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _PIECES = re.compile(r"'(?:[^']|'')*'|([A-Za-z])\1*|.", re.DOTALL)
-_NUMBER = r"[+-]?\d+"
+# Digits are taken once and not given back, so a text that does not fit is turned away in one pass.
+_NUMBER = r"[+-]?\d++"
+# Fixed value: the longest name a field has, "September".
+_NAME = r"\D{1,9}"
 
 
 def shape(date_format: str) -> str | None:
@@ -17,22 +20,25 @@ def shape(date_format: str) -> str | None:
 
     Parsing a date that does not fit costs an exception inside the parser; the regex turns
     most of those away first. It may let more through than the format does, never less.
+    Number fields next to each other are one run of digits in it.
     """
-    parts = []
+    parts: list[str] = []
     for piece in _PIECES.finditer(date_format):
         text = piece.group()
         letter = piece.group(1)
         if letter is None:
             literal = text[1:-1].replace("''", "'") if len(text) > 1 else text
-            if text == "'" or literal in ("", "[", "]", "{", "}", "#"):
+            if text == "'" or literal in ("", "[", "]", "{", "}", "#") or re.search(r"\d", literal):
                 return None
             parts.append("".join(re.sub(r"([^A-Za-z0-9])", r"\\\1", c) for c in literal))
         elif letter in "ydHhms" or (letter == "M" and len(text) < 3):
-            parts.append(_NUMBER)
+            if parts[-1:] != [_NUMBER]:
+                parts.append(_NUMBER)
         elif letter == "S":
-            parts.append(r"\d+")
+            if parts[-1:] != [_NUMBER]:
+                parts.append(_NUMBER)
         elif letter in "Ma":
-            parts.append(r"\D+")
+            parts.append(_NAME)
         else:
             return None
     return "(?iu)^" + "".join(parts) + "$"

@@ -10,9 +10,8 @@ from rinse.operators.cells import named
 from rinse.session import stored
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-# A key of more than one in so many rows is hot, and its rows are dealt out this many ways.
-HOT_SHARE = 1000
-SALTS = 32
+# Rows of one key that a task should get at most; a key with more is dealt out over several.
+ROWS_PER_TASK = 1_000_000
 
 # Type names whose values take at most 16 bytes.
 _FIXED = {
@@ -33,11 +32,14 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return size <= limit
 
 
-def hot_keys(rows: DataFrame, key: str) -> DataFrame:
-    """Keys that more than one in ``HOT_SHARE`` rows have, so at most ``HOT_SHARE`` of them."""
-    counts = stored(rows.groupBy(key).agg(F.count(F.lit(1)).alias("__rows")), "keys")
-    total = counts.agg(F.coalesce(F.sum("__rows"), F.lit(0)).alias("rows")).first()["rows"]
-    return counts.where(F.col("__rows") > total / HOT_SHARE).select(key)
+def hot_keys(rows: DataFrame, key: str, per_task: int) -> DataFrame:
+    """Keys with more than ``per_task`` rows, and over how many tasks (``__tasks``) each is dealt.
+
+    Rows are counted in the tasks first; only the hot keys are written.
+    """
+    tasks = F.ceil(F.count(F.lit(1)) / per_task).cast("int").alias("__tasks")
+    counted = rows.where(named(key).isNotNull()).groupBy(key).agg(tasks)
+    return stored(counted.where(F.col("__tasks") > 1), "hot-keys")
 
 
 def lookup(
@@ -46,26 +48,26 @@ def lookup(
     key: str,
     limit: int = BROADCAST_BYTES,
     size: int | None = None,
+    per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """All rows with the answer's columns, null where there is none.
 
     Answers are broadcast if they take at most ``limit`` bytes; ``size`` is for callers who
-    have measured them. Otherwise both sides are shuffled by the key. Rows with a hot key are
-    dealt out over several tasks then, each with a copy of that key's answer.
+    have measured them. Otherwise both sides are shuffled by the key. Rows of a key that has more
+    than ``per_task`` are then dealt out over as many tasks as that takes, each with a copy of the
+    key's answer.
     """
     if fits_broadcast(answers, limit) if size is None else size <= limit:
         return rows.join(F.broadcast(answers), key, "left")
-    salt, hot = "__salt", "__hot"
-    marked = F.broadcast(hot_keys(rows, key).withColumn(hot, F.lit(True)))
+    salt, tasks = "__salt", "__tasks"
+    hot = hot_keys(rows, key, per_task)
     # The salt follows from the row and the task that holds it, so a repeated task gives the
     # same one, and equal rows from different tasks still part ways.
-    dealt = F.pmod(F.xxhash64(F.spark_partition_id(), *map(named, rows.columns)), F.lit(SALTS))
-    salted = rows.withColumn(salt, dealt.cast("int")).join(marked, key, "left")
+    dealt = F.xxhash64(F.spark_partition_id(), *map(named, rows.columns))
+    salted = rows.withColumn(salt, dealt).join(hot, key, "left")
     # Rows without a key find nothing, wherever they go, so they are dealt out as well.
-    apart = F.col(hot) | named(key).isNull()
-    salted = salted.withColumn(salt, F.when(apart, F.col(salt)).otherwise(0)).drop(hot)
-    copies = F.when(F.col(hot), F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    copied = answers.join(marked, key, "left").withColumn(
-        salt, F.explode(F.coalesce(copies, F.array(F.lit(0))))
-    )
-    return salted.join(copied.drop(hot), [key, salt], "left").drop(salt)
+    dealt = F.when(named(key).isNull(), F.col(salt)).otherwise(F.pmod(salt, F.coalesce(tasks, F.lit(1))))
+    salted = salted.withColumn(salt, dealt).drop(tasks)
+    copies = F.sequence(F.lit(0), F.coalesce(tasks, F.lit(1)) - 1).cast("array<bigint>")
+    copied = answers.join(hot, key, "left").withColumn(salt, F.explode(copies))
+    return salted.join(copied.drop(tasks), [key, salt], "left").drop(salt)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection, Mapping
+from collections.abc import Callable, Collection, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 
@@ -13,13 +14,25 @@ from rinse.operators.cells import Cell, Rule, clean
 # The kinds of personal data.
 KINDS = ("email", "phone", "person_name", "credit_card", "identifier", "address", "other")
 
-WHOLE_VALUE = {"identifier", "address", "other"}
-# Cards come before phones: the end of a card number looks like a phone number.
-IN_TEXT = {
-    "credit_card": masks.mask_card,
-    "phone": masks.mask_phone,
-    "email": masks.mask_email,
+# What is done for a kind, and its level. Of the kinds a column holds only those of the highest
+# level act, in this order; the end of a card number looks like a phone number, so cards lead.
+_MASKS = {
+    "identifier": (2, masks.redact),
+    "address": (2, masks.redact),
+    "other": (2, masks.redact),
+    "person_name": (1, masks.initials),
+    "credit_card": (0, masks.mask_card),
+    "phone": (0, masks.mask_phone),
+    "email": (0, masks.mask_email),
 }
+IN_TEXT = [kind for kind, (level, _) in _MASKS.items() if level == 0]
+
+
+def _steps(kinds: Collection[str]) -> list[Callable[[Column], Column]]:
+    """The masks that act on a column with these kinds, each once."""
+    highest = max((_MASKS[kind][0] for kind in kinds), default=0)
+    acting = (step for kind, (level, step) in _MASKS.items() if kind in kinds and level == highest)
+    return list(dict.fromkeys(acting))
 
 
 def masking(kinds: Collection[str]) -> Rule:
@@ -31,15 +44,10 @@ def masking(kinds: Collection[str]) -> Rule:
     if unknown:
         raise RinseError(INVALID_SPEC, f"Unknown kind of data: {', '.join(unknown)}", unknown)
 
+    steps = _steps(kinds)
+
     def rule(value: Column) -> Cell:
-        if not WHOLE_VALUE.isdisjoint(kinds):
-            text = masks.redact(value)
-        elif "person_name" in kinds:
-            text = masks.initials(value)
-        else:
-            text = value
-            for kind, mask in IN_TEXT.items():
-                text = mask(text) if kind in kinds else text
+        text = reduce(lambda text, step: step(text), steps, value)
         return Cell(text, text != value)
 
     return rule

@@ -20,8 +20,7 @@ from rinse.operators.mask import IN_TEXT, KINDS
 
 # --- personal data ----------------------------------------------------------------------
 
-# Names, identifiers and addresses are values of their own; longer texts are none of them.
-_LONGEST_VALUE = 120
+# Names, identifiers and addresses are values of their own, or stand at their beginning.
 _PERSON = r"^\p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’.-]*){1,3}$"
 _IDENTIFIER = r"^(?:[A-Z]{1,2}\d{6,9}|\d{3}-\d{2}-\d{4}|[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7})$"
 _STREET = (
@@ -31,7 +30,7 @@ _STREET = (
 
 
 def _whole(pattern: str) -> Callable[[Column], Column]:
-    return lambda value: (F.length(value) <= _LONGEST_VALUE) & value.rlike(pattern)
+    return lambda value: value.rlike(pattern)
 
 
 def _phone_beside_cards(value: Column) -> Column:

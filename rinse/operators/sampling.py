@@ -27,9 +27,7 @@ def first_rows(df: DataFrame, count: int, order_by: str | None) -> DataFrame:
     """
     at = F.monotonically_increasing_id()
     if order_by is None:
-        head = df.head(count)
-        rows = df.sparkSession.createDataFrame(head, df.schema).coalesce(1)
-        return rows.withColumn("__at", at)
+        return df.limit(count).withColumn("__at", at)
     key = named(order_by)
     group = F.floor(F.spark_partition_id() / _FAN_IN)
     rank = F.row_number().over(Window.partitionBy("__group").orderBy(key))

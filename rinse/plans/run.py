@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from typing import NamedTuple
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from rinse.operators.cells import MATCHED, named, with_row_id
 from rinse.operators.find_replace import find_replace
 from rinse.plans.specs import Replace
-from rinse.sources.tables import read_flags, read_source, write_parquet
+from rinse.sources.tables import read_flags, read_source, unreadable, write_parquet
 
 
 class Stats(NamedTuple):
@@ -46,9 +48,15 @@ def run(
     build: Callable[[DataFrame], DataFrame],
     file_type: str | None = None,
 ) -> Stats:
-    """Read a file with row ids, apply ``build``, write Parquet; a rerun replaces the output."""
-    table = with_row_id(read_source(spark, source, file_type))
-    return write_counted(build(table), output)
+    """Read a file with row ids, apply ``build``, write Parquet; a rerun replaces the output.
+
+    Much of what is wrong with a source shows only while it is read; this too is a ``RinseError``.
+    """
+    result = build(with_row_id(read_source(spark, source, file_type)))
+    try:
+        return write_counted(result, output)
+    except (PySparkException, Py4JJavaError) as error:
+        raise unreadable(source, error) from error
 
 
 def run_replace(spark: SparkSession, spec: Replace) -> Stats:

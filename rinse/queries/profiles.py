@@ -32,10 +32,10 @@ _STREET_SQL = (
 _TESTS = {
     "email": f"regexp_matches(v, {quoted(masks.EMAIL)})",
     "phone": f"regexp_matches({_NO_CARDS}, {quoted(masks.PHONE)})",
-    "person_name": f"length(v) <= 120 AND regexp_matches(v, {_PERSON_SQL})",
+    "person_name": f"regexp_matches(v, {_PERSON_SQL})",
     "credit_card": f"regexp_matches(v, {quoted(masks.CARD)})",
-    "identifier": f"length(v) <= 120 AND regexp_matches(v, {_IDENTIFIER_SQL})",
-    "address": f"length(v) <= 120 AND regexp_matches(v, {_STREET_SQL})",
+    "identifier": f"regexp_matches(v, {_IDENTIFIER_SQL})",
+    "address": f"regexp_matches(v, {_STREET_SQL})",
 }
 
 

@@ -13,13 +13,11 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.legacy.timeParserPolicy": "CORRECTED",
+    # Tasks keep the first rows of a group only, however many are asked for.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "2000000000",
 }
 TASKS_PER_CORE = 3
 
-# Tables of this size in few files are dealt out over all cores; others have splits enough.
-SPREAD_FROM = 1024 * 1024
-SPREAD_TO_PER_CORE = 16 * 1024 * 1024
-
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings to a running session; safe to repeat."""
@@ -67,17 +65,3 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table for work that is costly per row.
-
-    A row group is never split, so a small table in one file would keep all cores but one idle.
-    Such a table is dealt out over the cores; from 16 MiB per core on nothing is shuffled.
-    """
-    table = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    lengths = [row["length"] for row in files.select("length").head(cores + 1)]
-    small = SPREAD_FROM <= sum(lengths) <= SPREAD_TO_PER_CORE * cores and len(lengths) <= cores
-    return table.repartition(cores) if small else table

@@ -17,7 +17,6 @@ from rinse.sources.tables import unreadable
 MAX_LISTED = 1000
 PREVIEW_ROWS = 10
 LARGEST_WORKBOOK = 50 * 1024 * 1024
-_LONGEST_KEY = 4096
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
@@ -38,7 +37,7 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     # Spark adds the scheme and host that the folder was written without.
     lead = r"^[A-Za-z][A-Za-z0-9+.-]*:" + ("" if scheme else r"(?://[^/]*)?") + "/*"
     base = re.sub(lead, "", root).strip("/")
-    key = F.substring(F.regexp_replace("path", lead, ""), len(base) + 2 if base else 1, _LONGEST_KEY)
+    key = F.substr(F.regexp_replace("path", lead, ""), F.lit(len(base) + 2 if base else 1))
     listed = found.select(
         key.alias("key"),
         F.col("length").alias("size"),

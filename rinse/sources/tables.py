@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rinse.errors import SOURCE_READ_ERROR, UNSUPPORTED_FILE_TYPE, RinseError, first_line
+from rinse.errors import SOURCE_READ_ERROR, STORAGE_UNAVAILABLE, UNSUPPORTED_FILE_TYPE, RinseError, first_line
 from rinse.operators.cells import MATCHED
 from rinse.sources.workbooks import read_xlsx
 
@@ -55,7 +55,16 @@ def read_csv(spark: SparkSession, path: str, *, multi_line: bool = False, **opti
         raise unreadable(path, error) from error
 
 
+# What the errors of a storage that does not answer say; such a run may be tried again.
+_OUTAGE = re.compile(
+    r"UnknownHost|ConnectException|Connection (?:refused|reset|timed out)|SocketTimeout|NoRouteToHost"
+    r"|NoHttpResponse|ServiceUnavailable|Service Unavailable|Status Code: 50[0234]|SlowDown"
+)
+
+
 def unreadable(path: str, error: BaseException) -> RinseError:
+    if _OUTAGE.search(str(error)):
+        return RinseError(STORAGE_UNAVAILABLE, f"The storage of {path} does not answer: {first_line(error)}")
     return RinseError(SOURCE_READ_ERROR, f"Cannot read {path}: {first_line(error)}")
 
 

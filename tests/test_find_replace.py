@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,7 +93,7 @@ def test_flags_and_names():
     assert with_flags("a", multiline=True) == "(?m)a"
     assert with_flags("a") == "a"
     assert word("vip customer") == r"(?i)\bvip customer\b"
-    assert pattern("iso_date") == r"\b\d{4}-\d{2}-\d{2}\b"
+    assert re.search(pattern("iso_date"), "on 2024-02-29.") and not re.search(pattern("iso_date"), "2024-13-01")
     with pytest.raises(RinseError):
         pattern("nothing")
     with pytest.raises(RinseError):

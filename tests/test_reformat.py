@@ -1,4 +1,5 @@
 import itertools
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,3 +104,19 @@ def test_rule_patterns_are_compiled_first(table):
     with pytest.raises(RinseError) as caught:
         reformat(table(["v"], ("x",)), ["v"], Rules((("ok", ""), ("(bad", ""))))
     assert caught.value.code == "INVALID_PATTERN"
+
+
+def test_long_digits_are_turned_away_at_once(spark):
+    cells = ["9" * 10_000 + "x", "1" * 10_000, "-" * 10_000, "a" * 10_000 + "!", "2024" * 2_500 + " AM"]
+    table = spark.createDataFrame([(cell,) for cell in cells], "cell string")
+    formats = ["yyyyMMddHHmmss", "yyyyMMdd", "yyyyMMddHHmmssSSS", "d MMM yyyy", "MMMM d yyyy h:mm a", "yyyy-MM-dd"]
+    read = [read_date(F.col("cell"), one).alias(str(at)) for at, one in enumerate(formats)]
+    started = time.perf_counter()
+    assert not any(value for row in table.select(*read).collect() for value in row)
+    assert time.perf_counter() - started < 10
+
+
+def test_compact_dates_are_read(spark):
+    table = spark.createDataFrame([("20240229", "20240229235959")], "day string, second string")
+    row = table.select(read_date(F.col("day"), "yyyyMMdd"), read_date(F.col("second"), "yyyyMMddHHmmss")).first()
+    assert [str(value) for value in row] == ["2024-02-29"] * 2

@@ -17,7 +17,6 @@ from rinse import (
     with_row_id,
     write_counted,
 )
-from rinse.operators import lookup as lookups
 from rinse.operators import paging
 from rinse.operators.lookup import fits_broadcast, hot_keys, lookup
 from rinse.operators.paging import clamp_page_size, id_range, offsets_of, total_pages
@@ -195,13 +194,12 @@ def test_samples_of_nothing(spark, table):
 
 
 @pytest.mark.parametrize("limit", [0, 10**6])
-def test_lookup_with_a_hot_key(spark, limit, monkeypatch):
-    monkeypatch.setattr(lookups, "HOT_SHARE", 5)
+def test_lookup_with_a_hot_key(spark, limit):
     rows = spark.range(900).select(
         F.col("id").alias("row"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k")
     )
     answers = spark.createDataFrame([(7, "hot"), (10, "ten"), (5000, "none")], "k long, a string")
-    found = lookup(rows, answers, "k", limit)
+    found = lookup(rows, answers, "k", limit, per_task=50)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert ("SortMergeJoin" in plan or "ShuffledHashJoin" in plan) == (not limit)
     wanted = sorted((7 if n % 3 == 0 else n, n) for n in range(900))
@@ -213,9 +211,9 @@ def test_lookup_with_a_hot_key(spark, limit, monkeypatch):
 def test_hot_keys_are_few_and_spread(spark, as_planned):
     keys = F.when(F.col("id") < 400, "hot").otherwise(F.col("id").cast("string"))
     rows = spark.range(0, 1000, 1, 8).select(keys.alias("k"))
-    assert values(hot_keys(rows, "k")) == [("hot",)]
+    assert values(hot_keys(rows, "k", 100)) == [("hot", 4)]
     answers = spark.createDataFrame([("hot", 1), ("999", 2)], "k string, a long")
-    found = lookup(rows, answers, "k", limit=0)
+    found = lookup(rows, answers, "k", limit=0, per_task=100)
     assert found.count() == 1000 and found.where("a = 2").count() == 1
     spread = found.groupBy(F.spark_partition_id().alias("task"), "k", "a").count().where("k = 'hot'")
     counts = [row["count"] for row in spread.collect()]
