@@ -38,7 +38,10 @@ class Suffixes:
         return keys
 
     def _sort(self) -> None:
-        """Larsson-Sadakane: groups that share h symbols are sorted by the groups h places on."""
+        """Larsson-Sadakane: groups that share h symbols are sorted by the groups h places on.
+
+        Where three ranks fit into a key, the groups 2 h places on are used too.
+        """
         n = len(self._keys)
         # ends differ in the order of their places, which a stable sort keeps
         order = np.argsort(self._keys, kind="stable")
@@ -46,7 +49,9 @@ class Suffixes:
         first = np.ones(n, bool)
         first[1:] = (keys[1:] != keys[:-1]) | (keys[1:] & 511 == 0)
         group = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-        rank = np.empty(n, np.int64)
+        rank = np.empty(n, np.int32 if n < 1 << 31 else np.int64)
+        bits = n.bit_length()
+        ranks = 3 if 3 * bits < 64 else 2
         rank[order] = group
         places = np.arange(n)
         have = SYMBOLS
@@ -56,7 +61,9 @@ class Suffixes:
             if not len(places):
                 break
             suffixes = order[places]
-            keys = (rank[suffixes] << 32) | rank[suffixes + have]
+            keys = rank[suffixes].astype(np.int64)
+            for step in range(1, ranks):  # behind an end nothing decides: ends are unique
+                keys = (keys << bits) | rank[np.minimum(suffixes + step * have, n - 1)]
             turn = np.argsort(keys)
             keys, suffixes = keys[turn], suffixes[turn]
             order[places] = suffixes
@@ -64,7 +71,7 @@ class Suffixes:
             begins[1:] = keys[1:] != keys[:-1]
             first[places] = begins
             rank[suffixes] = places[np.maximum.accumulate(np.where(begins, np.arange(len(places)), 0))]
-            have *= 2
+            have *= ranks
         self.order = order
 
     def _compare(self) -> None:

@@ -79,6 +79,7 @@ def test_against_brute_force(spark, seed, length, gram):
 
 def test_anchors_with_many_contexts_are_merged_across_shards(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CONTEXTS_PER_SHARD", 3)
+    monkeypatch.setattr(suffix_dedup, "CONTEXTS_PER_ANCHOR", 3)
     monkeypatch.setattr(suffix_dedup, "STRINGS_PER_RANGE", 50)
     check(spark, made(5, passages=2, docs=60), 40, 16)
 
