@@ -34,8 +34,10 @@ from rinse.session import stored
 
 LENGTH = 400
 GRAM = 128
-CONTEXTS_PER_SHARD = 1024
+CONTEXTS_PER_SHARD = 256
+CONTEXTS_PER_ANCHOR = 1024  # in one shard
 STRINGS_PER_RANGE = 1 << 20
+SMALL = 1 << 18  # bytes of a table that is broadcast
 _CHUNK = 1 << 17  # bytes of text hashed at once, so that the arrays stay in the cache
 _MOST = np.uint64(np.iinfo(np.uint64).max)
 _BYTES = np.random.default_rng(4).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -168,7 +170,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, shards: int, length: int, gram
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=_CONTEXTS)
 
-    small = broadcast_if_small(wanted).alias("w")
+    small = broadcast_if_small(wanted, SMALL).alias("w")
     texts = _named(docs).where(F.octet_length("text") >= length).alias("d")
     same = (F.col("d.u1") == F.col("w.u1")) & (F.col("d.u2") == F.col("w.u2"))
     texts = texts.join(small, same & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
@@ -293,7 +295,7 @@ def _merging(length: int):
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Per distinct text (u1, u2) the spans of bytes that repeated strings cover; spans may overlap."""
     texts = stored(_texts(docs, length, gram), "anchors")
-    marked = stored(_marked(texts, CONTEXTS_PER_SHARD), "marked")
+    marked = stored(_marked(texts, CONTEXTS_PER_ANCHOR), "marked")
     wanted = marked.where(F.size("compared") > 0).join(texts.select("u1", "u2", "doc_id"), ["u1", "u2"])
     wanted = stored(wanted.select("u1", "u2", "doc_id", "compared"), "wanted")
     hot = F.size(F.filter("compared", lambda one: one["parts"] > 1))
@@ -349,7 +351,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     schema += ", kept binary" if with_bytes else ""
-    texts = _named(docs).join(broadcast_if_small(spans), ["u1", "u2"], "left")
+    texts = _named(docs).join(broadcast_if_small(spans, SMALL), ["u1", "u2"], "left")
     return texts.select("doc_id", "text", "spans").mapInArrow(remove, schema)
 
 
@@ -380,6 +382,6 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 
     text = _text()
     named = docs.withColumns({"_u1": F.xxhash64(text), "_u2": F.xxhash64(F.lit(7), text)})
-    spans = broadcast_if_small(spans.select(*(F.col(name).alias(f"_{name}") for name in ("u1", "u2", "spans"))))
+    spans = broadcast_if_small(spans.select(*(F.col(name).alias(f"_{name}") for name in ("u1", "u2", "spans"))), SMALL)
     joined = named.join(spans, ["_u1", "_u2"], "left").select(*(F.col(f"`{name}`") for name in columns), "_spans")
     return joined.mapInArrow(cut, docs.schema)
