@@ -7,14 +7,16 @@ similarity of 0.8 a pair that differs in more symbols still has such a chunk but
 three million. Pairs that meet are filtered by the distance of their signatures and confirmed on the
 full sets of shingles.
 
-Under a key not all pairs are formed. Each round picks a few pivots under every key and compares
-the others with them; members that are connected with a pivot already need no comparison. A key is
-done when all its members are connected or have been pivots, so no link between different
+Not all pairs under a key are formed. First one pivot under each key is compared with the others.
+Most keys are done then, because all their members are connected. Under those that are not, members of
+different components are compared: in the task that holds them if they are at most ``MEMBERS``
+(first each with the nearest by signature, which connects most, then all that are left), else with ``PIVOTS`` more pivots in each round until so few are left. So no link between different
 components is lost. Texts with equal sets are one node from the start.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -34,7 +36,9 @@ WORDS = 5
 SIMILARITY = 0.8
 CHUNKS, CHUNK = 14, 6
 SYMBOLS = CHUNKS * CHUNK
-PIVOTS = 8
+PIVOTS = 64
+MEMBERS = 1024
+NEAREST = (2, 8)
 _ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _RANDOM = np.random.default_rng(20)
 _FACTORS = _RANDOM.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -192,46 +196,97 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int,
     return pairs.select("a", "b", "one", "other").mapInArrow(confirm, "a long, b long")
 
 
-def _links(nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+def _across(named: DataFrame, nodes: DataFrame, most: int, nearest: int | None) -> DataFrame:
+    """Pairs (a, b) under one key, of different roots, whose signatures differ in at most ``most`` symbols.
+
+    Every key has at most ``MEMBERS`` rows. They are compared where they lie, so that only pairs
+    which the signatures do not rule out leave the task, of each row the ``nearest`` or all.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            table = pa.Table.from_batches(held).combine_chunks()
+            last = table["key"][-1].as_py()
+            ready = int(np.searchsorted(table["key"].to_numpy(), last))  # the last key may go on
+            yield from pairs(table.slice(0, ready))
+            held = table.slice(ready).to_batches()
+        if held:
+            yield from pairs(pa.Table.from_batches(held).combine_chunks())
+
+    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        if not table.num_rows:
+            return
+        key, node, root = (table[name].to_numpy() for name in ("key", "node", "root"))
+        signatures = np.frombuffer(b"".join(table["signature"].to_pylist()), "<u2").reshape(-1, SYMBOLS)
+        cuts = np.flatnonzero(np.diff(key)) + 1
+        ones, others = [], []
+        for start, stop in zip([0, *cuts], [*cuts, len(key)], strict=True):
+            own, roots = signatures[start:stop], root[start:stop]
+            for at in range(stop - start):
+                found = np.flatnonzero(roots != roots[at])
+                apart = (own[found] != own[at]).sum(axis=1)
+                near = apart <= most
+                found, apart = found[near], apart[near]
+                if nearest is not None and len(found) > nearest:
+                    found = found[np.argpartition(apart, nearest)[:nearest]]
+                ones.append(np.full(len(found), node[start + at]))
+                others.append(node[start + found])
+        if ones:
+            one, other = np.concatenate(ones), np.concatenate(others)
+            both = np.unique(np.column_stack([np.minimum(one, other), np.maximum(one, other)]), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    signed = named.join(nodes.select("node", "signature"), "node").select("key", "node", "root", "signature")
+    signed = signed.repartition("key").sortWithinPartitions("key", "node")
+    return signed.mapInArrow(compare, "a long, b long")
+
+
+def _links(nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame | None:
     """The root of each linked node: node, root."""
     spread = (SYMBOLS * similarity * (1 - similarity)) ** 0.5
-    most = int(SYMBOLS * (1 - similarity) + 6 * spread)  # six deviations over the mean distance
+    most = int(SYMBOLS * (1 - similarity) + 4.5 * spread)  # deviations over the mean distance
     members = _under_keys(nodes)
-    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = stored(members.join(shared, "key"), "members")
-    links, roots, checked = None, None, None
-    while True:
-        named = members.withColumn("root", F.col("node"))
-        if roots is not None:
-            named = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        named = stored(named, "named")
-        open_ = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        named = named.join(open_.select("key"), "key")
-        pivots = named.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("part"))
-        pivots = pivots.agg(F.min("node").alias("a")).select("key", "a")
-        if roots is not None:
-            pivots = pivots.join(roots.select(F.col("node").alias("a"), F.col("root").alias("a_root")), "a", "left")
-            pivots = pivots.withColumn("a_root", F.coalesce("a_root", "a"))
-        else:
-            # one pivot in the first round: most members are connected by it
-            pivots = pivots.groupBy("key").agg(F.min("a").alias("a")).withColumn("a_root", F.col("a"))
-        pivots = stored(pivots, "pivots")
-        pairs = named.join(pivots, "key").where("root <> a_root")
-        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = stored(_alike(pairs, nodes, most), "pairs")
-        checked = pairs if checked is None else checked.union(pairs)
+    pivots = members.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
+    members = stored(members.join(pivots.drop("n"), "key"), "members")
+    pairs = _alike(members.where("a <> node").select("a", F.col("node").alias("b")).distinct(), nodes, most)
+    members, links, roots = members.select("key", "node"), None, None
+    for nearest in itertools.chain(NEAREST, itertools.repeat(None)):
+        pairs = stored(pairs, "pairs")
         if not pairs.isEmpty():
             found = stored(_confirmed(pairs, nodes, docs, words, similarity), "links")
             links = found if links is None else links.union(found)
             roots = connected_components(links)
-        members = named.select("key", "node").join(
-            pivots.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti"
-        )
-        members = stored(members, "members")
-        if members.isEmpty():
+        named = members.withColumn("root", F.col("node"))
+        if roots is not None:
+            root = F.coalesce("root", "node").alias("root")
+            named = members.join(roots, "node", "left").select("key", "node", root)
+        open_ = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+        open_ = stored(open_.where("low < high and n > 2").select("key", "n"), "open")
+        if open_.isEmpty():
             return roots
+        named = stored(named.join(broadcast_if_small(open_), "key"), "named")
+        small, large = named.where(F.col("n") <= MEMBERS), named.where(F.col("n") > MEMBERS)
+        pairs = _across(small, nodes, most, nearest)
+        members = large.select("key", "node")
+        if not large.isEmpty():
+            part = F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("part")
+            first = F.min(F.struct("node", "root")).alias("first")
+            pivots = large.groupBy("key", part).agg(first).select(
+                "key", F.col("first.node").alias("a"), F.col("first.root").alias("a_root")
+            )
+            pivots = stored(pivots, "pivots")
+            met = large.join(pivots, "key").where("root <> a_root").select(
+                F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")
+            )
+            pairs = pairs.union(_alike(met.distinct(), nodes, most))
+            members = stored(members.join(
+                pivots.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti"
+            ), "members")
+        if nearest is not None:
+            members = members.union(small.select("key", "node"))
+        pairs = pairs.distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
