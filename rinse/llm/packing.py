@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rinse.llm.tokens import END_OF_SEQUENCE, Encoder, pieces_of, word_tokenizer
+from rinse.llm.tokens import END_OF_SEQUENCE, encoder, pieces_of, word_tokenizer
 from rinse.session import stored
 
 CAPACITY = 4096
@@ -91,10 +91,10 @@ def pieces(
     schema += ", ids array<int>" if with_ids else ""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, row = Encoder(path), TaskContext.get().partitionId() << 40
+        words, row = encoder(path), TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in pieces_of(batch):
-                ids, stops = encoder.encode(part.column("text"), end)
+                ids, stops = words.encode(part.column("text"), end)
                 data = ids.astype("<u4")
                 counts = np.diff(stops)
                 many = -(-counts // room)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rinse.llm.shared_files import opened, written
-from rinse.llm.tokens import END_OF_DOCUMENT, Encoder, pieces_of, word_tokenizer
+from rinse.llm.tokens import END_OF_DOCUMENT, encoder, pieces_of, word_tokenizer
 
 MAGIC = b"PFOR0001"
 BLOCK = 256
@@ -159,7 +159,7 @@ def write_tokens(
     path = tokenizer or word_tokenizer()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, number = Encoder(path), TaskContext.get().partitionId(), 0
+        words, part, number = encoder(path), TaskContext.get().partitionId(), 0
         ids, counts, names = [], [], []
 
         def flush() -> pa.RecordBatch:
@@ -173,7 +173,7 @@ def write_tokens(
 
         for batch in batches:
             for piece in pieces_of(batch):
-                found, starts = encoder.encode(piece.column("text"), end)
+                found, starts = words.encode(piece.column("text"), end)
                 ids.append(found)
                 counts.append(np.diff(starts))
                 names.extend(piece.column("doc_id").to_pylist())

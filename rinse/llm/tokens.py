@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ class Encoder:
     words in turn. Ids of up to ``memory`` words are remembered; then the memory starts anew.
     """
 
-    def __init__(self, path: str, memory: int = 300_000) -> None:
+    def __init__(self, path: str, memory: int = 800_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -81,6 +82,12 @@ class Encoder:
         return ids, before[np.concatenate([[0], np.cumsum(sizes)])]
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The encoder of this Python worker, which remembers words from one task to the next."""
+    return Encoder(path)
+
+
 def pieces_of(batch: pa.RecordBatch, most: int = 1 << 24):
     """The batch in slices of about ``most`` bytes of text, so that long texts bound memory."""
     sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
