@@ -4,19 +4,23 @@ A signature has ``CHUNKS`` chunks of ``CHUNK`` symbols of 16 bits. Two signature
 fewer than ``2 * CHUNKS`` symbols have a chunk with at most one error (pigeonhole), so they agree in
 one of the keys that leave out one symbol of a chunk: all such pairs meet under a key. At a
 similarity of 0.8 a pair that differs in more symbols still has such a chunk but for about one in
-three million. Pairs that meet are filtered by the distance of their signatures and confirmed on the
-full sets of shingles.
+three million.
+
+Pairs that meet are filtered by parities: each set has a bitmap of 4 to 8 bits a shingle, up to
+``LARGEST`` bits, and each shingle flips one of them. Two bitmaps differ in no more bits than their
+sets differ in shingles, so the filter loses no link. What passes is confirmed on the full sets.
 
 Not all pairs under a key are formed. First one pivot under each key is compared with the others.
-Most keys are done then, because all their members are connected. Under those that are not, members of
-different components are compared: in the task that holds them if they are at most ``MEMBERS``
-(first each with the nearest by signature, which connects most, then all that are left), else with ``PIVOTS`` more pivots in each round until so few are left. So no link between different
-components is lost. Texts with equal sets are one node from the start.
+Most keys are done then, because all their members are connected. Under the others, the largest
+component is the main one, and each member outside of it (asking) is compared with all members of
+other components, ``MEMBERS`` by ``MEMBERS`` in a task: first linked to the ``NEAREST`` ones, which
+connects most, then to all that pass the filter. Two members of different components are never both
+in the main one, so no link between components is lost. Texts with equal sets are one node from
+the start.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -36,9 +40,9 @@ WORDS = 5
 SIMILARITY = 0.8
 CHUNKS, CHUNK = 14, 6
 SYMBOLS = CHUNKS * CHUNK
-PIVOTS = 64
 MEMBERS = 1024
-NEAREST = (2, 8)
+NEAREST = 2
+SMALLEST, LARGEST = 512, 8192  # bits of a bitmap of parities
 _ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _RANDOM = np.random.default_rng(20)
 _FACTORS = _RANDOM.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -105,6 +109,31 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (_mixed(least) >> np.uint64(48)).astype("<u2")
 
 
+def parities(shingles: np.ndarray) -> bytes:
+    """A bitmap in which each shingle flips one bit; its size is a power of two."""
+    bits = min(LARGEST, max(SMALLEST, 1 << (4 * len(shingles) - 1).bit_length())) if len(shingles) else SMALLEST
+    flips = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _bitmaps(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each size of bitmap in the column: the rows that have it, and a matrix of their words."""
+    words = pc.binary_length(column).to_numpy(zero_copy_only=False) // 8
+    found = []
+    for size in np.unique(words):
+        rows = np.flatnonzero(words == size)
+        raw = b"".join(column.take(pa.array(rows)).to_pylist())
+        found.append((rows, np.frombuffer(raw, "<u8").reshape(len(rows), size)))
+    return found
+
+
+def _folded(bitmaps: np.ndarray, words: int) -> np.ndarray:
+    """The bitmaps the same sets would have with fewer words."""
+    if bitmaps.shape[1] == words:
+        return bitmaps
+    return np.bitwise_xor.reduce(bitmaps.reshape(len(bitmaps), -1, words), axis=1)
+
+
 def keys(signatures: np.ndarray) -> np.ndarray:
     """For each signature the keys of its chunks with one symbol left out."""
     parts = signatures.reshape(-1, CHUNKS, CHUNK).astype(np.uint64) * _PLACES
@@ -116,24 +145,25 @@ def _text() -> Column:
 
 
 def _sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, hash (of the text), n (distinct shingles), content (hash of the set), signature."""
+    """doc_id, hash (of the text), n (distinct shingles), content (hash of the set), signature, parities."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
         for batch in batches:
             for part in pieces_of(batch):
                 coded = part.column("text").dictionary_encode()
-                sizes, contents, signatures = [], [], []
+                sizes, contents, signatures, bitmaps = [], [], [], []
                 for one in shingles.sets(coded.dictionary):
                     sizes.append(len(one))
                     contents.append(xxhash.xxh3_128_digest(one.tobytes()))
                     signatures.append(signature(one).tobytes())
-                columns = [pa.array(sizes, pa.int64()), pa.array(contents, pa.binary()), pa.array(signatures, pa.binary())]
+                    bitmaps.append(parities(one))
+                columns = [pa.array(sizes, pa.int64()), *(pa.array(one, pa.binary()) for one in (contents, signatures, bitmaps))]
                 columns = [part.column("doc_id"), part.column("hash"), *(one.take(coded.indices) for one in columns)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "hash", "n", "content", "signature"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "hash", "n", "content", "signature", "parities"])
 
     docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64(_text()).alias("hash"), _text().alias("text"))
-    return docs.mapInArrow(sketch, "doc_id long, hash long, n long, content binary, signature binary")
+    return docs.mapInArrow(sketch, "doc_id long, hash long, n long, content binary, signature binary, parities binary")
 
 
 def _under_keys(nodes: DataFrame) -> DataFrame:
@@ -151,26 +181,34 @@ def _under_keys(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "signature").mapInArrow(explode, "key long, node long")
 
 
-def _alike(pairs: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
-    """Pairs (a, b) whose signatures differ in at most ``most`` symbols."""
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            one, other = (
-                np.frombuffer(b"".join(batch.column(name).to_pylist()), "<u2").reshape(-1, SYMBOLS)
-                for name in ("one", "other")
-            )
-            found = pa.array((one != other).sum(axis=1) <= most)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(found)
+def _possible(apart: np.ndarray, one: np.ndarray, other: np.ndarray, share: Fraction) -> np.ndarray:
+    """Whether sets of these sizes that differ in at least ``apart`` shingles can be similar."""
+    every, apart = one + other, np.maximum(apart, abs(one - other))
+    return apart * (share.denominator + share.numerator) <= every * (share.denominator - share.numerator)
 
-    pairs = pairs.join(nodes.select(F.col("node").alias("a"), F.col("signature").alias("one")), "a")
-    pairs = pairs.join(nodes.select(F.col("node").alias("b"), F.col("signature").alias("other")), "b")
-    return pairs.select("a", "b", "one", "other").mapInArrow(near, "a long, b long")
 
+def _alike(pairs: DataFrame, nodes: DataFrame, share: Fraction) -> DataFrame:
+    """The pairs (a, b) that the bitmaps do not rule out."""
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.zeros(batch.num_rows, bool)
+            sizes = [batch.column(name).to_numpy() for name in ("a_n", "b_n")]
+            for rows, ones in _bitmaps(batch.column("a_parities")):
+                for part, others in _bitmaps(batch.column("b_parities").take(pa.array(rows))):
+                    words, at = min(ones.shape[1], others.shape[1]), rows[part]
+                    apart = np.bitwise_count(_folded(ones[part], words) ^ _folded(others, words)).sum(axis=1, dtype=np.int64)
+                    found[at] = _possible(apart, sizes[0][at], sizes[1][at], share)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(found))
+
+    for name in ("a", "b"):
+        own = nodes.select(F.col("node").alias(name), F.col("n").alias(f"{name}_n"), F.col("parities").alias(f"{name}_parities"))
+        pairs = pairs.join(own, name)
+    return pairs.select("a", "b", "a_n", "b_n", "a_parities", "b_parities").mapInArrow(near, "a long, b long")
+
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, share: Fraction) -> DataFrame:
     """Pairs (a, b) whose full sets of shingles are similar."""
-    share = Fraction(similarity).limit_denominator(1000)
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
@@ -196,11 +234,12 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int,
     return pairs.select("a", "b", "one", "other").mapInArrow(confirm, "a long, b long")
 
 
-def _across(named: DataFrame, nodes: DataFrame, most: int, nearest: int | None) -> DataFrame:
-    """Pairs (a, b) under one key, of different roots, whose signatures differ in at most ``most`` symbols.
+def _across(named: DataFrame, nodes: DataFrame, share: Fraction, nearest: int | None) -> DataFrame:
+    """Pairs (a, b) under one key, of different roots, that the bitmaps do not rule out.
 
-    Every key has at most ``MEMBERS`` rows. They are compared where they lie, so that only pairs
-    which the signatures do not rule out leave the task, of each row the ``nearest`` or all.
+    ``named`` has key, node, root, main (a root of the key), blocks and askers: into how many parts
+    all members and those outside of the main root are dealt. Each part of the askers meets each
+    part of the members in one task; of each asker the ``nearest`` or all pairs leave it.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,85 +247,116 @@ def _across(named: DataFrame, nodes: DataFrame, most: int, nearest: int | None)
         for batch in batches:
             held.append(batch)
             table = pa.Table.from_batches(held).combine_chunks()
-            last = table["key"][-1].as_py()
-            ready = int(np.searchsorted(table["key"].to_numpy(), last))  # the last key may go on
-            yield from pairs(table.slice(0, ready))
-            held = table.slice(ready).to_batches()
+            cuts = ends(table)[:-1]  # the last group may go on
+            if cuts:
+                yield from pairs(table.slice(0, cuts[-1]), cuts)
+                table = table.slice(cuts[-1])
+            held = table.to_batches()
         if held:
-            yield from pairs(pa.Table.from_batches(held).combine_chunks())
-
-    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        if not table.num_rows:
-            return
-        key, node, root = (table[name].to_numpy() for name in ("key", "node", "root"))
-        signatures = np.frombuffer(b"".join(table["signature"].to_pylist()), "<u2").reshape(-1, SYMBOLS)
-        cuts = np.flatnonzero(np.diff(key)) + 1
-        ones, others = [], []
-        for start, stop in zip([0, *cuts], [*cuts, len(key)], strict=True):
-            own, roots = signatures[start:stop], root[start:stop]
-            for at in range(stop - start):
-                found = np.flatnonzero(roots != roots[at])
-                apart = (own[found] != own[at]).sum(axis=1)
-                near = apart <= most
-                found, apart = found[near], apart[near]
-                if nearest is not None and len(found) > nearest:
-                    found = found[np.argpartition(apart, nearest)[:nearest]]
-                ones.append(np.full(len(found), node[start + at]))
-                others.append(node[start + found])
-        if ones:
-            one, other = np.concatenate(ones), np.concatenate(others)
-            both = np.unique(np.column_stack([np.minimum(one, other), np.maximum(one, other)]), axis=0)
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield from pairs(table, ends(table))
+
+    def ends(table: pa.Table) -> list[int]:
+        new = np.zeros(max(0, table.num_rows - 1), bool)
+        for name in ("key", "asked", "block"):
+            new |= np.diff(table[name].to_numpy()) != 0
+        return [*(np.flatnonzero(new) + 1).tolist(), table.num_rows]
+
+    def pairs(table: pa.Table, cuts: list[int]) -> Iterator[pa.RecordBatch]:
+        node, root, n, asks = (table[name].to_numpy() for name in ("node", "root", "n", "asks"))
+        bitmaps, found = table["parities"].combine_chunks(), []
+        for start, stop in zip([0, *cuts], cuts, strict=False):
+            asking, asked = (start + np.flatnonzero(asks[start:stop] == one) for one in (True, False))
+            if not len(asking) or not len(asked):
+                continue
+            theirs = _bitmaps(bitmaps.take(pa.array(asked)))
+            for rows, ones in _bitmaps(bitmaps.take(pa.array(asking))):
+                for part, others in theirs:
+                    i, j = met(node, root, n, asking[rows], asked[part], ones, others)
+                    found.append(np.column_stack([node[i], node[j]]))
+        if found:
+            both = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
-    signed = named.join(nodes.select("node", "signature"), "node").select("key", "node", "root", "signature")
-    signed = signed.repartition("key").sortWithinPartitions("key", "node")
-    return signed.mapInArrow(compare, "a long, b long")
+    def met(node, root, n, asking, asked, ones, others) -> tuple[np.ndarray, np.ndarray]:
+        words = min(ones.shape[1], others.shape[1])
+        ones, others = _folded(ones, words), _folded(others, words)
+        step = max(1, (1 << 21) // (len(asked) * words))
+        left, right = [], []
+        for start in range(0, len(asking), step):
+            rows = asking[start : start + step]
+            apart = np.bitwise_count(ones[start : start + step, None] ^ others).sum(axis=2, dtype=np.int64)
+            fits = (root[rows][:, None] != root[asked]) & _possible(apart, n[rows][:, None], n[asked], share)
+            if nearest is not None and len(asked) > nearest:
+                order = np.where(fits, apart / (n[rows][:, None] + n[asked]), 2.0)
+                best = np.argpartition(order, nearest, axis=1)[:, :nearest]
+                few = np.zeros_like(fits)
+                np.put_along_axis(few, best, True, axis=1)
+                fits &= few
+            i, j = np.nonzero(fits)
+            left.append(rows[i])
+            right.append(asked[j])
+        return np.concatenate(left), np.concatenate(right)
+
+    def part(many: str) -> Column:
+        return F.pmod(F.xxhash64("node"), F.col(many))
+
+    def each(many: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(many) - 1))
+
+    askers = named.where("root <> main").withColumn("asks", F.lit(True))
+    askers = askers.withColumn("asked", part("askers")).withColumn("block", each("blocks"))
+    members = named.withColumn("asks", F.lit(False))
+    members = members.withColumn("block", part("blocks")).withColumn("asked", each("askers"))
+    rows = members.unionByName(askers).join(nodes.select("node", "n", "parities"), "node")
+    rows = rows.select("key", "asked", "block", "asks", "node", "root", "n", "parities")
+    rows = rows.repartition("key", "asked", "block").sortWithinPartitions("key", "asked", "block", "node")
+    return rows.mapInArrow(compare, "a long, b long")
+
+
+def _open(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Of the keys whose members are not all connected: key, node, root, main, blocks, askers."""
+    named = members.withColumn("root", F.col("node"))
+    if roots is not None:
+        named = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    sizes = named.groupBy("key", "root").agg(F.count("*").alias("size"))
+    sizes = sizes.groupBy("key").agg(
+        F.max(F.struct("size", "root")).alias("main"), F.sum("size").alias("n"), F.count("*").alias("roots")
+    )
+    sizes = sizes.where("roots > 1 and n > 2").select(
+        "key", F.col("main.root").alias("main"), F.ceil(F.col("n") / MEMBERS).alias("blocks"),
+        F.ceil((F.col("n") - F.col("main.size")) / MEMBERS).alias("askers"),
+    )
+    return stored(named.join(broadcast_if_small(stored(sizes, "open")), "key"), "named")
+
+
+def _joined(
+    pairs: DataFrame, roots: DataFrame | None, nodes: DataFrame, docs: DataFrame, words: int, share: Fraction
+) -> DataFrame | None:
+    """The roots (node, root) after those of ``pairs`` that are links are added."""
+    pairs = stored(pairs, "pairs")
+    if pairs.isEmpty():
+        return roots
+    links = stored(_confirmed(pairs, nodes, docs, words, share), "links")
+    if links.isEmpty():
+        return roots
+    return connected_components(links if roots is None else links.union(roots.select("root", "node")))
 
 
 def _links(nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame | None:
     """The root of each linked node: node, root."""
-    spread = (SYMBOLS * similarity * (1 - similarity)) ** 0.5
-    most = int(SYMBOLS * (1 - similarity) + 4.5 * spread)  # deviations over the mean distance
+    share = Fraction(similarity).limit_denominator(1000)
     members = _under_keys(nodes)
     pivots = members.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
     members = stored(members.join(pivots.drop("n"), "key"), "members")
-    pairs = _alike(members.where("a <> node").select("a", F.col("node").alias("b")).distinct(), nodes, most)
-    members, links, roots = members.select("key", "node"), None, None
-    for nearest in itertools.chain(NEAREST, itertools.repeat(None)):
-        pairs = stored(pairs, "pairs")
-        if not pairs.isEmpty():
-            found = stored(_confirmed(pairs, nodes, docs, words, similarity), "links")
-            links = found if links is None else links.union(found)
-            roots = connected_components(links)
-        named = members.withColumn("root", F.col("node"))
-        if roots is not None:
-            root = F.coalesce("root", "node").alias("root")
-            named = members.join(roots, "node", "left").select("key", "node", root)
-        open_ = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
-        open_ = stored(open_.where("low < high and n > 2").select("key", "n"), "open")
-        if open_.isEmpty():
-            return roots
-        named = stored(named.join(broadcast_if_small(open_), "key"), "named")
-        small, large = named.where(F.col("n") <= MEMBERS), named.where(F.col("n") > MEMBERS)
-        pairs = _across(small, nodes, most, nearest)
-        members = large.select("key", "node")
-        if not large.isEmpty():
-            part = F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("part")
-            first = F.min(F.struct("node", "root")).alias("first")
-            pivots = large.groupBy("key", part).agg(first).select(
-                "key", F.col("first.node").alias("a"), F.col("first.root").alias("a_root")
-            )
-            pivots = stored(pivots, "pivots")
-            met = large.join(pivots, "key").where("root <> a_root").select(
-                F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")
-            )
-            pairs = pairs.union(_alike(met.distinct(), nodes, most))
-            members = stored(members.join(
-                pivots.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti"
-            ), "members")
-        if nearest is not None:
-            members = members.union(small.select("key", "node"))
-        pairs = pairs.distinct()
+    pairs = _alike(members.where("a <> node").select("a", F.col("node").alias("b")).distinct(), nodes, share)
+    members, roots = members.select("key", "node"), None
+    for nearest in (NEAREST, None):
+        roots = _joined(pairs, roots, nodes, docs, words, share)
+        members = _open(members, roots)
+        pairs = _across(members, nodes, share, nearest).distinct()
+        members = members.select("key", "node")
+    return _joined(pairs, roots, nodes, docs, words, share)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -305,9 +375,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     sketches = stored(_sketches(docs, words), "sketches")
     # the row with the smallest doc_id stands for all texts with its set
     of_content = sketches.where("n > 0").groupBy("content").agg(
-        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash", "signature")).alias("first"),
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash", "n", "signature", "parities")).alias("first"),
     )
-    of_content = of_content.select("content", "first.doc_id", "first.hash", "first.signature")
+    of_content = of_content.select("content", *(f"first.{name}" for name in ("doc_id", "hash", "n", "signature", "parities")))
     nodes = stored(of_content.withColumn("node", F.monotonically_increasing_id()), "nodes")
     roots = _links(nodes, docs, words, similarity)
     members = nodes.select("content", "node", "doc_id").withColumn("root", F.col("node"))
