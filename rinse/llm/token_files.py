@@ -189,6 +189,7 @@ def write_tokens(
     ordered.mapInArrow(write, schema).write.parquet(f"{folder}/manifest")
 
 
+MOST_TASKS = 100_000
 _MANIFEST = pa.schema(
     [("part", pa.int64()), ("number", pa.int64()), ("name", pa.string())]
     + [("documents", pa.int64()), ("ids", pa.int64())]
@@ -204,7 +205,8 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = True) -> Data
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     # one row for each file of millions of ids
     files = files.select("part", "name", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("start"))
-    files = files.repartition(F.col("name"))
+    tasks = min(max(1, files.count()), MOST_TASKS)  # by number, or the short rows would share one task
+    files = files.repartition(tasks, "name")
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     schema += ", ids array<int>" if with_ids else ""
 
