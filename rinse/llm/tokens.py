@@ -48,7 +48,7 @@ class Encoder:
         known = self._known
         new = [word for word in words if word not in known]
         if new:
-            found = [e.ids for e in self._tokenizer.encode_batch(new, add_special_tokens=False)]
+            found = [e.ids for e in self._tokenizer.encode_batch_fast(new, add_special_tokens=False)]
             lengths = np.fromiter(map(len, found), np.int64, len(found))
             ids = np.fromiter((i for one in found for i in one), np.uint32, int(lengths.sum()))
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
