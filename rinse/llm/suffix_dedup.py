@@ -237,8 +237,11 @@ def _comparing(length: int, ranges: int):
                 schema=_FOUND_ARROW,
             )
         ]
-        sent = hot[owner] & (begins | ~twice)
-        if sent.any():
+        # of a repeated run one is enough, but one of a hot anchor: only that anchor's shards may hold others
+        sent = np.flatnonzero(hot[owner])
+        run = np.cumsum(begins)[sent]
+        sent = sent[(np.diff(run, prepend=0) > 0) | ~twice[sent]]
+        if len(sent):
             rows.append(_sent(data, lengths, owner[sent], place[sent], u1, u2, start[sent],
                               np.where(twice[sent], _TWICE, np.where(known[owner[sent]], _KNOWN, _WANTED)), length, ranges))
         return pa.Table.from_batches(rows)

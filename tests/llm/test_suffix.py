@@ -84,6 +84,28 @@ def test_anchors_with_many_contexts_are_merged_across_shards(spark, monkeypatch)
     check(spark, made(5, passages=2, docs=60), 40, 16)
 
 
+def in_three_texts(seeds):
+    """For each seed passages around one common anchor and among rarer ones, each in just three texts."""
+    texts = []
+    for seed in range(seeds):
+        pick = random.Random(seed)
+        word = lambda n: "".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+        words = [word(16) for _ in range(100)]
+        gram = lambda one: suffix_dedup._slid(suffix_dedup._BYTES[list(one.encode())], 16, suffix_dedup._hashed)[0]
+        common = min(words, key=gram)  # the smallest hash among its neighbours
+        for _ in range(12):
+            passage = word(pick.randint(12, 30)) + common + word(pick.randint(12, 30))
+            texts += [word(pick.randint(0, 30)) + passage + word(pick.randint(0, 30)) for _ in range(3)]
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("per_shard", [400, 1000, 4000])
+def test_strings_of_a_common_anchor_in_three_texts(spark, monkeypatch, per_shard):
+    monkeypatch.setattr(suffix_dedup, "CONTEXTS_PER_SHARD", per_shard)
+    monkeypatch.setattr(suffix_dedup, "CONTEXTS_PER_ANCHOR", 4)
+    check(spark, in_three_texts(60), 40, 16)
+
+
 def test_empty_table(spark):
     assert remove_repeats(frame(spark, []), 40, 16).count() == 0
 
