@@ -64,7 +64,7 @@ def likeness(root_: Column, leaves_: Column, other_root: Column, other_leaves: C
     return F.when(root_ == other_root, F.lit(1.0)).otherwise(share)
 
 
-def _next_ids(ids: DataFrame, per_part: int) -> DataFrame:
+def next_ids(ids: DataFrame, per_part: int) -> DataFrame:
     """Distinct (known, id) with the next ones in descending order; after the last, the first.
 
     Parts are ranges of ids. The last of a part is followed by the first of the next part, which a
@@ -105,7 +105,7 @@ def edited_fingerprints(docs: DataFrame, per_part: int = IDS_PER_PART) -> DataFr
     half = F.floor(F.length("text") / 2).cast("int")
     halves = stored(base.select("known", "id", half.alias("half")), "halves")
     ids = halves.select("known", "id").distinct()
-    following = stored(_next_ids(ids, per_part), "next")
+    following = stored(next_ids(ids, per_part), "next")
     repeated = halves.count() > following.count()
 
     wanted = halves.distinct().join(following, ["known", "id"]).select(

@@ -112,6 +112,32 @@ FROM turns JOIN ends USING (pair_id)
 WHERE chosen OR ending IS NOT NULL AND turn >= ending
 """
 
+PREFERENCE_PAIRS = """
+WITH answers AS (
+    SELECT conv_id, max(turn) AS ending, max_by(text, turn) AS answer
+    FROM conversations WHERE role = 'assistant' GROUP BY conv_id
+), others AS (
+    SELECT conv_id, ending, answer, coalesce(lag(answer) OVER (ORDER BY conv_id), max_by(answer, conv_id) OVER ()) AS other
+    FROM answers
+), turns AS (
+    SELECT conv_id AS pair_id, turn, coalesce(turn >= ending AND answer <> other, false) AS completed,
+        completed AND role = 'assistant' AS trained,
+        '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10) AS chosen,
+        CASE WHEN turn = ending THEN '<|assistant|>' || chr(10) || other || chr(10) ELSE chosen END AS rejected
+    FROM conversations LEFT JOIN others USING (conv_id)
+), placed AS (
+    SELECT *, sum(length(chosen)) OVER place AS chosen_end, sum(length(rejected)) OVER place AS rejected_end
+    FROM turns WINDOW place AS (PARTITION BY pair_id, completed ORDER BY turn)
+)
+SELECT pair_id,
+    coalesce(string_agg(chosen, '' ORDER BY turn) FILTER (NOT completed), '') AS prompt,
+    coalesce(string_agg(chosen, '' ORDER BY turn) FILTER (completed), '') AS chosen,
+    coalesce(list([chosen_end - length(chosen), chosen_end] ORDER BY turn) FILTER (trained), []) AS chosen_spans,
+    coalesce(string_agg(rejected, '' ORDER BY turn) FILTER (completed), '') AS rejected,
+    coalesce(list([rejected_end - length(rejected), rejected_end] ORDER BY turn) FILTER (trained), []) AS rejected_spans
+FROM placed GROUP BY pair_id
+"""
+
 
 def _root(text: str) -> str:
     lines = f"list_transform(string_split({text}, chr(10)), lambda x: sha256(x))"

@@ -12,7 +12,7 @@ from rinse.llm.decontaminate import contamination
 from rinse.llm.merkle import edited_fingerprints
 from rinse.llm.minhash import near_duplicates
 from rinse.llm.packing import pack_documents
-from rinse.llm.preferences import preference_turns
+from rinse.llm.preferences import answer_turns, paired, preference_turns
 from rinse.llm.suffix_dedup import remove_repeats
 from rinse.llm.token_files import read_tokens, write_tokens
 from rinse.llm.url_filter import judge, write_rules
@@ -26,6 +26,7 @@ SQL: dict[str, str] = {
     "op6_decontamination": oracles.DECONTAMINATION,
     "op7_near_duplicates": oracles.NEAR_DUPLICATES,
     "op9_preferences": oracles.PREFERENCES,
+    "op9_preference_pairs": oracles.PREFERENCE_PAIRS,
     "op10_merkle": oracles.MERKLE,
 }
 
@@ -112,6 +113,15 @@ def op9_preferences(spark, table):
     return preference_turns(turns, pairs)
 
 
+@query
+def op9_preference_pairs(spark, table):
+    """Each conversation is chosen over itself with the last answer of another; the prompt is what they share."""
+    pairs = paired(answer_turns(table("conversations")))
+    for name in ("chosen_spans", "rejected_spans"):
+        pairs = pairs.withColumn(name, F.transform(name, lambda span: F.array(span["start"], span["end"])))
+    return pairs
+
+
 @query
 def op10_merkle(spark, table):
     return edited_fingerprints(table("documents"))

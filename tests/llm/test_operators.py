@@ -10,11 +10,12 @@ import pytest
 
 import corpus_pipeline
 from rinse.llm import minhash, quality
+from rinse.llm import queries as llm_queries
 from rinse.llm.components import connected_components
 from rinse.llm.decontaminate import contamination, decontaminate
 from rinse.llm.merkle import changed_paragraphs, edited_fingerprints
 from rinse.llm.minhash import deduplicate, near_duplicates
-from rinse.llm.preferences import preference_pairs, preference_turns
+from rinse.llm.preferences import answer_turns, paired, preference_pairs, preference_turns
 from rinse.llm.url_filter import judge, write_rules
 from rinse.llm.warc import read_records, write_pages
 from rinse.session import scratch
@@ -250,6 +251,32 @@ def test_shared_beginning_is_the_prompt(spark):
     assert preference_turns(turns.limit(0), pairs).count() == 0
 
 
+def test_every_conversation_has_a_pair_that_shares_its_beginning(spark):
+    turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "one"), (1, 1, "assistant", "one"), (1, 2, "user", "bye"),
+             (4, 0, "user", "so"), (4, 1, "assistant", "first"), (4, 2, "user", "and"), (4, 3, "assistant", "four"),
+             (5, 0, "user", "nobody answers"), (9, 0, None, "x"), (9, 7, "assistant", "four"), (None, 0, "assistant", "y")]
+    turns = spark.createDataFrame([(*turn, "p") for turn in turns], "conv_id long, turn long, role string, text string, part string")
+    for per_part in (1, 2, 100):
+        rows = {row.pair_id: row for row in paired(answer_turns(turns, per_part)).collect()}
+        assert set(rows) == {1, 4, 5, 9}
+        assert rows[1].prompt == "<|user|>\nhi\n" and rows[1].chosen == "<|assistant|>\none\n<|user|>\nbye\n"
+        assert rows[1].rejected == "<|assistant|>\nfour\n<|user|>\nbye\n"
+        assert [tuple(span) for span in rows[1].rejected_spans] == [(0, 19)]
+        assert rows[4].prompt == "<|user|>\nso\n<|assistant|>\nfirst\n<|user|>\nand\n"
+        assert rows[4].chosen == "<|assistant|>\nfour\n" and rows[4].rejected == "<|assistant|>\none\n"
+        assert [tuple(span) for span in rows[4].chosen_spans] == [(0, 19)]
+        assert rows[5].prompt == "<|user|>\nnobody answers\n" and rows[5].chosen == rows[5].rejected == ""
+        assert rows[9].prompt == "<||>\nx\n<|assistant|>\nfour\n" and rows[9].chosen == rows[9].rejected == ""
+    assert paired(answer_turns(turns.limit(0))).count() == 0
+
+
+def test_pairs_of_the_query_share_a_prompt(spark):
+    rows = llm_queries.QUERIES["op9_preference_pairs"](spark, FOLDER).collect()
+    ids = {row.conv_id for row in spark.read.parquet(f"{FOLDER}/conversations.parquet").collect()}
+    assert {row.pair_id for row in rows} == ids and len(rows) == len(ids)
+    assert sum(bool(row.prompt and row.chosen and row.rejected) for row in rows) > len(rows) / 2
+
+
 # Merkle trees
 
 
