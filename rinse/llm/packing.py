@@ -5,12 +5,14 @@ from dual-feasible functions say how few sequences a partition's pieces need at
 partition reaches its bound all but its emptiest sequence stay; elsewhere all sequences with gaps
 are taken apart. What was taken apart is exchanged between fewer partitions and packed again,
 until the number of sequences equals the bound of all pieces, or one partition holds the rest.
+From round ``ROUNDS`` on every partition gives only its emptiest sequence, so that tasks stay small.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -124,17 +126,17 @@ def pieces(
     return docs.mapInArrow(cut, schema)
 
 
-def _packer(room: int, round_: int, last: bool):
+def _packer(room: int, round_: int, alone: bool):
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         lengths = frame["length"].to_numpy()
         sequence, offset = best_fit_decreasing(lengths, room)
         gaps = room - np.bincount(sequence, weights=lengths).astype(np.int64)
         bound = lower_bound(np.bincount(lengths, minlength=room + 1))
         stays = np.ones(len(gaps), bool)
-        if not last:
-            stays[gaps > 0] = len(gaps) == bound
+        if not alone:
+            stays[gaps > 0] = len(gaps) == bound or round_ >= ROUNDS - 1
             stays[gaps.argmax()] &= gaps.max() == 0
-        base = (round_ << 58) + (int(frame["part"].iat[0]) << 20)
+        base = (round_ << 58) + (int(frame["part"].iat[0]) << 28)
         return pd.DataFrame(
             {
                 "row": frame["row"],
@@ -162,12 +164,11 @@ def place(found: DataFrame, room: int = CAPACITY, per_partition: int = PIECES_PE
     ).astype(np.int64)
     bound, left, kept, done = lower_bound(counts), int(counts.sum()), 0, None
     schema = "row long, length long, sequence_id long, offset long, stays boolean"
-    for round_ in range(ROUNDS):
+    for round_ in count():
         parts = -(-left // (per_partition << round_)) or 1
-        last = parts == 1 or round_ == ROUNDS - 1
         dealt = F.pmod(F.xxhash64("row", F.lit(round_)), F.lit(parts))
         grouped = waiting.withColumn("part", dealt).repartition(parts, "part").groupBy("part")
-        packed = stored(grouped.applyInPandas(_packer(room, round_, last), schema), "packed")
+        packed = stored(grouped.applyInPandas(_packer(room, round_, parts == 1), schema), "packed")
         stays = packed.where("stays").select("row", "sequence_id", "offset")
         done = stays if done is None else done.unionByName(stays)
         made = packed.where("offset = 0").groupBy("stays").count().collect()

@@ -162,3 +162,11 @@ def test_rounds_reach_the_bound_or_nearly(spark, low, high):
 def test_pieces_are_numbered_apart(spark):
     found = pieces(rows(spark, *ODD_DOCS).repartition(3), room=100).collect()
     assert len({row.row for row in found}) == len(found)
+
+
+def test_packing_goes_on_until_one_partition_holds_the_rest(spark):
+    found = spark.createDataFrame([(row, 1) for row in range(300)], "row long, length long")
+    placed = place(found, room=100, per_partition=1).collect()
+    assert sorted(row.row for row in placed) == list(range(300))
+    assert len({(row.sequence_id, row.offset) for row in placed}) == 300
+    assert len({row.sequence_id for row in placed}) == 3
