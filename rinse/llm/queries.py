@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rinse.llm import oracles, quality
+from rinse.llm.alignment import align_documents
 from rinse.llm.decontaminate import contamination
 from rinse.llm.merkle import edited_fingerprints
 from rinse.llm.minhash import near_duplicates
@@ -125,3 +126,11 @@ def op9_preference_pairs(spark, table):
 @query
 def op10_merkle(spark, table):
     return edited_fingerprints(table("documents"))
+
+
+@query
+def op13_alignment(spark, table):
+    import public_tokenizers
+
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return align_documents(table("documents"), *paths)
