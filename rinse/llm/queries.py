@@ -14,6 +14,7 @@ from rinse.llm.merkle import edited_fingerprints
 from rinse.llm.minhash import near_duplicates
 from rinse.llm.packing import pack_documents
 from rinse.llm.preferences import answer_turns, paired, preference_turns
+from rinse.llm.prefix_trie import conversation_trie
 from rinse.llm.suffix_dedup import remove_repeats
 from rinse.llm.token_files import read_tokens, write_tokens
 from rinse.llm.url_filter import judge, write_rules
@@ -29,6 +30,7 @@ SQL: dict[str, str] = {
     "op9_preferences": oracles.PREFERENCES,
     "op9_preference_pairs": oracles.PREFERENCE_PAIRS,
     "op10_merkle": oracles.MERKLE,
+    "op12_prefix_trie": oracles.PREFIX_TRIE,
 }
 
 
@@ -128,6 +130,11 @@ def op10_merkle(spark, table):
     return edited_fingerprints(table("documents"))
 
 
+@query
+def op12_prefix_trie(spark, table):
+    return conversation_trie(table("conversations"))
+
+
 @query
 def op13_alignment(spark, table):
     import public_tokenizers
