@@ -7,6 +7,7 @@ names and the order of parts vary, and so does how much they give away.
 from __future__ import annotations
 
 import random
+import re
 
 # Words of class names and phrases that are common on web pages.
 CONTENT = "content article post entry story main body text single blog page document prose markdown news".split()
@@ -76,7 +77,10 @@ class Layouts:
             return "<ul>" + "".join(f"<li>{item}</li>" for item in items) + "</ul>"
         return self._r.choice((" | ", " ", " · ")).join(items)
 
-    def content_blocks(self) -> str:
+    def heading(self, text: str, names: list[str]) -> str:
+        return self.element(self._r.choice(("h2", "h3", "h4")), text, [f"{name}-title" for name in names], sure=0.4)
+
+    def content_blocks(self) -> list[str]:
         r, out = self._r, []
         for _ in range(r.randint(1, 9)):
             kind = r.random()
@@ -99,7 +103,7 @@ class Layouts:
                 out.append(f'<figure><img src="x.png"><figcaption>{self.sentence()}</figcaption></figure>')
             if r.random() < 0.08:
                 out.append(self.other(r.choice(("advert", "share", "side", "form", "notice"))))
-        return "".join(out)
+        return out
 
     def other(self, kind: str) -> str:
         """A part that is not content; some are prose that only names and places tell from it."""
@@ -115,7 +119,7 @@ class Layouts:
             inner = r.choice((short, prose, f"<p>{short}</p>", self.links(kind) + f"<p>{short}</p>", f"&copy; {self.word()}.com &middot; {self.prose(2)}"))
             return self.element(r.choice(("footer", "footer", "div")), inner, FOOTERS, "other")
         if kind == "side":
-            inner = f"<h3>{short}</h3>" + r.choice((self.links(kind), f"<p>{prose}</p>", "".join(f"<div><a href=/x>{self.sentence()}</a></div>" for _ in range(3))))
+            inner = self.heading(short, SIDES) + r.choice((self.links(kind), f"<p>{prose}</p>", "".join(f"<div><a href=/x>{self.sentence()}</a></div>" for _ in range(3))))
             return self.element(r.choice(("aside", "aside", "div", "section")), inner, SIDES, "other", 0.95)
         if kind == "notice":
             inner = r.choice((f"<p>{short} {r.choice((self.sentence(), ''))}</p><button>{self.phrase(kind)}</button>", prose, f"<p>{prose}</p>", short))
@@ -132,18 +136,21 @@ class Layouts:
         for _ in range(r.randint(1, 4)):
             body = r.choice((f"<p>{self.prose(4)}</p>", self.prose(4), f'<div class="comment-body"><p>{self.prose(3)}</p></div>'))
             items.append(self.element(r.choice(("li", "div", "article", "div")), r.choice(("", f"<b>{self.word()}</b> ", f"<h4>{self.word()} says:</h4>")) + body, COMMENTS))
-        inner = r.choice(("", f"<h3>{self.phrase('comment')}</h3>")) + "".join(items)
+        inner = r.choice(("", self.heading(self.phrase("comment"), COMMENTS))) + "".join(items)
         return self.element(r.choice(("section", "div", "div", "ol")), inner, COMMENTS, "other", 1.0)
 
     def page(self) -> str:
         r = self._r
         head = r.choice(("<h1>{}</h1>", "<h1>{}</h1>", "<header><h1>{}</h1></header>", "<h2>{}</h2>", "<h1 class=title>{}</h1>")).format(self.sentence(2, 12))
-        content = head * (r.random() < 0.85) + self.content_blocks()
-        if r.random() < 0.15:
-            content += self.other("footer") + self.other("share")
-        tag = r.choice(("article", "article", "article", "main", "div", "div", "section", "td"))
-        body = self.element(tag, content, CONTENT, "content", 0.75 if tag in ("div", "section", "td") else 0.4)
+        blocks = [head] * (r.random() < 0.85) + self.content_blocks()
         if r.random() < 0.15:
+            blocks += [self.other("footer"), self.other("share")]
+        tag = r.choice(("article", "article", "article", "main", "div", "div", "section", "td", ""))
+        if tag:
+            body = self.element(tag, "".join(blocks), CONTENT, "content", 0.75 if tag in ("div", "section", "td") else 0.4)
+        else:  # no element around the content; of two labels the second counts
+            body = "".join(re.sub(r"^<(\w+)", r'<\1 data-label="content"', block) for block in blocks if "<br><p>" not in block)
+        if tag and r.random() < 0.15:
             body = self.element("div", body, CONTENT, "content")
         if r.random() < 0.25:
             body += self.other("comment")

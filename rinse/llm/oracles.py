@@ -218,3 +218,19 @@ FROM nodes n JOIN sums s ON s.d = n.d AND s.seq = n.seq
 LEFT JOIN children c ON c.d = n.d AND c.seq = n.seq
 LEFT JOIN nodes p ON p.d = n.d - 1 AND p.seq = list_slice(n.seq, 1, n.d - 1)
 """
+
+# the pages at hand keep their article in one element and escape few characters
+MAIN_TEXT = r"""
+WITH articles AS (
+    SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1),
+        '</?(p|h1|br)>', ' ', 'g'), '<[^>]*>', '', 'g') AS marked
+    FROM pages
+), decoded AS (
+    SELECT page_id, url, regexp_replace(replace(replace(replace(replace(
+        marked, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;?', '&', 'g') AS decoded
+    FROM articles
+), spaced AS (
+    SELECT page_id, url, trim(regexp_replace(decoded, '\s+', ' ', 'g')) AS text FROM decoded
+)
+SELECT page_id, url, text, length(text) AS n_chars FROM spaced
+"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rinse.llm import oracles, quality
 from rinse.llm.alignment import align_documents
 from rinse.llm.decontaminate import contamination
+from rinse.llm.html_extraction import extract
 from rinse.llm.merkle import edited_fingerprints
 from rinse.llm.minhash import near_duplicates
 from rinse.llm.packing import pack_documents
@@ -30,6 +31,7 @@ SQL: dict[str, str] = {
     "op9_preferences": oracles.PREFERENCES,
     "op9_preference_pairs": oracles.PREFERENCE_PAIRS,
     "op10_merkle": oracles.MERKLE,
+    "op11_main_text": oracles.MAIN_TEXT,
     "op12_prefix_trie": oracles.PREFIX_TRIE,
 }
 
@@ -130,6 +132,11 @@ def op10_merkle(spark, table):
     return edited_fingerprints(table("documents"))
 
 
+@query
+def op11_main_text(spark, table):
+    return extract(table("pages"))
+
+
 @query
 def op12_prefix_trie(spark, table):
     return conversation_trie(table("conversations"))
