@@ -52,6 +52,8 @@ class Layouts:
         return " ".join(self.sentence() for _ in range(self._r.randint(1, most)))
 
     def inline(self, text: str) -> str:
+        if self._r.random() < 0.05:
+            return f'<a href="/{self.word()}">{text}</a>'
         words = text.split(" ")
         for at in range(len(words)):
             if self._r.random() < 0.04:
