@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rinse.llm.names import free_names
 from rinse.llm.sizes import broadcast_if_small, is_small
 from rinse.session import stored
 
@@ -167,6 +168,7 @@ def decontaminate(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM
 ) -> DataFrame:
     """``docs`` with all their columns, without the rows that ``contamination`` finds contaminated."""
-    bad = _judged(docs, benchmark, window, gram).where("contaminated").select(F.col("key").alias("_key"))
-    bad = stored(bad, "contaminated")
-    return docs.join(broadcast_if_small(bad), _key() == F.col("_key"), "left_anti")
+    (name,) = free_names(docs, "key")
+    bad = _judged(docs, benchmark, window, gram).where("contaminated").select(F.col("key").alias(name))
+    bad = broadcast_if_small(stored(bad, "contaminated"))
+    return docs.join(bad, _key() == F.col(name), "left_anti")

@@ -31,7 +31,7 @@ OTHER, MIXED, CONTENT = range(3)
 TEXT, PLAIN, APART = range(3)  # kinds of pairs: with a text, an element that only arranges, another one
 SECTIONS = frozenset("article aside dialog fieldset footer form header main nav section".split())
 LABELS = {"other": OTHER, "mixed": MIXED, "content": CONTENT}
-PAGES, STEPS, RATE, DECAY = 600, 100, 0.1, 3e-5  # labelled pages, steps of the fit
+PAGES, STEPS, RATE, DECAY = 400, 100, 0.1, 3e-5  # labelled pages, steps of the fit
 LEAST = 5  # labelled pages that have a feature, or it is not learned
 WORDS = 12  # runs of more words are not judged by single words
 _SLICE = 2 << 20  # bytes of pages turned into trees at once

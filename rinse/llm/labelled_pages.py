@@ -147,7 +147,7 @@ class Layouts:
         blocks = [head] * (r.random() < 0.85) + self.content_blocks()
         if r.random() < 0.15:
             blocks += [self.other("footer"), self.other("share")]
-        tag = r.choice(("article", "article", "article", "main", "div", "div", "section", "td", ""))
+        tag = r.choice(("article", "article", "article", "main", "div", "div", "section", "td", "td", ""))
         if tag:
             body = self.element(tag, "".join(blocks), CONTENT, "content", 0.75 if tag in ("div", "section", "td") else 0.4)
         else:  # no element around the content; of two labels the second counts
@@ -157,7 +157,7 @@ class Layouts:
         if r.random() < 0.25:
             body += self.other("comment")
         if tag == "td":
-            side = f'<td data-label="other">{self.links("nav")}</td>' if r.random() < 0.5 else ""
+            side = self.element("td", self.links("nav"), MENUS + SIDES, "other", 0.6) if r.random() < 0.7 else ""
             body = f'<table data-label="mixed"><tr>{side}{body}</tr></table>'
         before = [self.other(kind) for kind in ("header", "nav", "notice", "advert", "form") if r.random() < 0.5]
         after = [self.other(kind) for kind in ("side", "comment", "advert", "notice", "footer", "share") if r.random() < 0.45]

@@ -127,9 +127,10 @@ def nodes_and_paths(turns: DataFrame, lengths: DataFrame) -> tuple[DataFrame, Da
     found = stored(found.select(*key, "m", "parent", "n_convs", F.coalesce("n_children", zero).alias("n_children"), "n_bytes"), "named")
 
     paths = rows.join(found.select(*key, "m", "parent"), key).select("conv_id", "depth", *key[1:], "m", "parent", "last")
-    root = found.where("depth = 0").select("depth", "k1", "k2", "m", "parent")  # one row
-    start = lengths.withColumn("depth", zero).join(F.broadcast(root), "depth")
-    start = start.select("conv_id", "depth", "k1", "k2", "m", "parent", (F.col("n_turns") == 0).alias("last"))
+    start = lengths.select(
+        "conv_id", zero.alias("depth"), zero.alias("k1"), zero.alias("k2"), F.lit(_root(found)).cast("long").alias("m"),
+        F.lit(None).cast("long").alias("parent"), (F.col("n_turns") == 0).alias("last"),
+    )
     paths = stored(paths.unionByName(start), "paths")
 
     # a conversation owns a run of its path, from where no smaller one goes along; of a node's members
@@ -142,6 +143,12 @@ def nodes_and_paths(turns: DataFrame, lengths: DataFrame) -> tuple[DataFrame, Da
     return stored(found.drop("k1", "k2", "reached", "from"), "sized"), paths.drop("k1", "k2")
 
 
+def _root(nodes: DataFrame) -> int | None:
+    """The smallest conversation, after which the root is named; nothing without conversations."""
+    row = nodes.where("depth = 0").select("m").first()
+    return row.m if row else None
+
+
 _COMPONENT = ["top", "top_depth"]
 _SUMS = ["m", "depth", "n_leaves", "saved_tokens"]
 
@@ -210,13 +217,12 @@ def _split(state: DataFrame, tops: DataFrame, paths: DataFrame) -> tuple[DataFra
 
 def rolled_up(nodes: DataFrame, paths: DataFrame, task_nodes: int = TASK_NODES) -> DataFrame:
     """For each node n_leaves and saved_tokens, summed over its subtree; both from ``nodes_and_paths``."""
-    root = nodes.where("depth = 0").select(F.col("m").alias("top"), F.col("depth").alias("top_depth"))
-    zero = F.lit(0).cast("long")
     state = nodes.select(
-        "m", "depth", F.coalesce("parent", F.lit(-1)).alias("parent"), "size", zero.alias("top_depth"),
+        F.lit(_root(nodes)).cast("long").alias("top"), F.lit(0).cast("long").alias("top_depth"),
+        "m", "depth", F.coalesce("parent", F.lit(-1)).alias("parent"), "size",
         (F.col("n_children") == 0).cast("long").alias("n_leaves"),
         ((F.col("n_convs") - 1) * F.col("n_bytes")).alias("saved_tokens"),
-    ).join(F.broadcast(root), "top_depth")  # one row
+    )
     state = stored(state, "components")
     small, gained = [], []
     while True:

@@ -1,6 +1,6 @@
 """A factorisation machine that scores the quality of documents.
 
-Features are hashed words and a few figures on the structure of the text. Their pairwise
+Features are hashed words, a few figures on the structure of the text, and metadata. Their pairwise
 interactions are products of short vectors, and by the identity
 ``sum of pairs = (square of sum - sum of squares) / 2`` a text is scored in one pass over them.
 """
@@ -8,7 +8,7 @@ interactions are products of short vectors, and by the identity
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rinse.llm.names import free_names
 from rinse.llm.tokens import pieces_of
 
 BUCKETS = 1 << 14
@@ -25,7 +26,7 @@ FACTORS = 8
 SAMPLE = 4000
 EPOCHS, STEPS = 12, 400  # at least so many of each
 THRESHOLD = 0.3
-_SLICE = 1 << 22  # bytes of text turned into features at once
+_SLICE = 1 << 20  # bytes of text turned into features at once
 _KINDS = ("upper", "digit", "exclaim", "line", "beyond", "sign")
 
 
@@ -56,7 +57,7 @@ class Features:
                 known[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
         return np.fromiter((known[word] for word in words), np.int64, len(words))
 
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def __call__(self, texts: pa.Array, metadata: Sequence[tuple[str, pa.Array]] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Row, bucket and value of each hashed word, and a matrix of figures on the structure.
 
         The values of a text have length 1. Null counts as empty: no words, figures of nothing.
@@ -95,6 +96,15 @@ class Features:
             np.bincount(rows, minlength=n) / np.maximum(sizes, 1),
             np.bincount(distinct, minlength=n) / np.maximum(many, 1),
         ])
+        for name, column in metadata:
+            if pa.types.is_integer(column.type) or pa.types.is_floating(column.type):
+                numbers = np.nan_to_num(pc.fill_null(column.cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False))
+                figures = np.column_stack([figures, np.sign(numbers) * np.log1p(np.abs(numbers))])
+            else:
+                known = column.cast(pa.string()).dictionary_encode("encode")
+                buckets = self._buckets([f"{name}={value}" for value in known.dictionary.to_pylist()])
+                rows, columns = np.concatenate([rows, np.arange(n)]), np.concatenate([columns, buckets[known.indices.to_numpy(zero_copy_only=False)]])
+                values = np.concatenate([values, np.ones(n)])
         return rows, columns, values, figures
 
 
@@ -112,8 +122,9 @@ class Model:
         """All features as (row, column, value), by row."""
         n = len(figures)
         scaled = np.clip((figures - self.centre) / self.scale, -4, 4) / 4
-        rows = np.concatenate([rows, np.repeat(np.arange(n), FIGURES)])
-        columns = np.concatenate([columns, BUCKETS + np.tile(np.arange(FIGURES), n)])
+        many = figures.shape[1]
+        rows = np.concatenate([rows, np.repeat(np.arange(n), many)])
+        columns = np.concatenate([columns, BUCKETS + np.tile(np.arange(many), n)])
         values = np.concatenate([values, scaled.ravel()])
         return rows, columns, values
 
@@ -137,11 +148,12 @@ class Model:
 def fit(features, labels: np.ndarray, weights: np.ndarray, epochs: int = EPOCHS, batch: int = 128) -> Model:
     """Fit a machine to labels of 0 and 1 by adaptive gradient steps on the weighted log loss."""
     rows, columns, values, figures = features
-    n, size = len(labels), BUCKETS + FIGURES
+    n, many = len(labels), figures.shape[1]
+    size = BUCKETS + many
     random = np.random.default_rng(7)
     model = Model(0.0, np.zeros(size), random.normal(0, 0.05, (size, FACTORS)),
-                  figures.mean(axis=0) if n else np.zeros(FIGURES),
-                  (figures.std(axis=0) if n else np.zeros(FIGURES)) + 1e-6)
+                  figures.mean(axis=0) if n else np.zeros(many),
+                  (figures.std(axis=0) if n else np.zeros(many)) + 1e-6)
     rows, columns, values = model.design(rows, columns, values, figures)
     order = np.argsort(rows, kind="stable")
     columns, values = columns[order], values[order]
@@ -177,13 +189,29 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
+def _inputs(metadata: Sequence[str]) -> Column:
+    """What the machine sees of a row."""
+    columns = [F.col(f"`{name}`").alias(f"m{at}") for at, name in enumerate(metadata)]
+    return F.struct(F.col("text").cast("string").alias("text"), *columns)
+
+
+def _parts(rows: pa.StructArray, features: Features, metadata: Sequence[str]) -> Iterator:
+    """Features of the rows, in slices that bound memory."""
+    batch = pa.RecordBatch.from_struct_array(rows)
+    for part in pieces_of(batch, _SLICE):
+        yield features(part.column("text"), [(name, part.column(f"m{at}")) for at, name in enumerate(metadata)])
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, metadata: Sequence[str] = ()
+) -> Model:
     """Fit a machine on at most ``sample`` labelled documents that are not held out.
 
     Half of the sample, by the hash of doc_id, is taken from each class, and losses are weighted
     so that the classes count as in all labels. Of several labels for a document the smallest
     holds. Rows without doc_id or label do not train; without labels all scores are 0.5. The
-    features of the sample come to the driver.
+    features of the sample come to the driver. ``metadata`` names columns of ``docs`` that the
+    machine sees besides the text: numbers as figures (null as 0), others by their value.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
@@ -193,13 +221,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
         for value in (0, 1)
     ]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # ``sample`` rows at most
-    texts = docs.select("doc_id", F.col("text").cast("string")).join(chosen, "doc_id")
+    texts = docs.select("doc_id", _inputs(metadata).alias("inputs")).join(chosen, "doc_id")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
-            for part in pieces_of(batch, _SLICE):
-                rows, columns, values, figures = features(part.column("text"))
+            at = 0
+            for rows, columns, values, figures in _parts(batch.column("inputs"), features, metadata):
+                part, at = batch.slice(at, len(figures)), at + len(figures)
+                order = np.argsort(rows, kind="stable")
+                columns, values = columns[order], values[order]
                 cuts = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(figures)))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").cast(pa.string()), part.column("label"),
@@ -212,7 +243,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     schema = "doc_id string, label int, columns array<int>, values array<float>, figures array<double>"
     found = texts.mapInArrow(gather, schema).toArrow().sort_by("doc_id").combine_chunks()
     sizes = pc.list_value_length(found["columns"]).to_numpy()
-    figures = np.array(found["figures"].to_pylist()).reshape(-1, FIGURES)
+    figures = np.array(found["figures"].to_pylist()) if len(found) else np.zeros((0, FIGURES))
     truth = found["label"].to_numpy().astype(np.float64)
     flat = [pc.list_flatten(found[name]).to_numpy().astype(kind)
             for name, kind in (("columns", np.int64), ("values", np.float64))]
@@ -223,26 +254,24 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     return fit(features, truth, weights / weights.mean() if len(weights) else weights)
 
 
-def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
-    """``docs`` (with text) and a column with the score of each whole text, 0 to 1.
+def score(docs: DataFrame, model: Model, column: str = "score", metadata: Sequence[str] = ()) -> DataFrame:
+    """``docs`` (with text) and a column with the score of each whole row, 0 to 1.
 
-    Null and empty texts are scored by their structure alone. A column with that name is replaced.
+    ``metadata`` as in ``train``. Null and empty texts are scored by what is left. A column with
+    that name is replaced. Only what the machine sees goes to Python, and only scores come back.
     """
-    docs = docs.drop(column)
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         features = Features()
-        for batch in batches:
-            for part in pieces_of(batch, _SLICE):
-                scores = pa.array(model.score(features(part.column("text"))), pa.float64())
-                yield pa.RecordBatch.from_arrays([*part.columns, scores], names=[*part.schema.names, column])
+        for rows in batches:
+            found = [pa.array(model.score(part), pa.float64()) for part in _parts(rows, features, metadata)]
+            yield pa.concat_arrays(found) if found else pa.array([], pa.float64())
 
-    return docs.mapInArrow(scored, docs.withColumn(column, F.lit(0.5)).schema)
+    return docs.withColumn(column, scored(_inputs(metadata)))
 
 
-def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD, metadata: Sequence[str] = ()) -> DataFrame:
     """``docs`` with all their columns, without the rows that score below ``threshold``."""
-    name = "score"
-    while name in docs.columns:
-        name += "_"
-    return score(docs, model, name).where(F.col(name) >= threshold).drop(name)
+    (name,) = free_names(docs, "score")
+    return score(docs, model, name, metadata).where(F.col(name) >= threshold).drop(name)

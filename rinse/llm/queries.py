@@ -102,8 +102,8 @@ def op7_near_duplicates(spark, table):
 @query
 def op8_quality(spark, table):
     docs = table("documents")
-    model = quality.train(docs, table("labels"))
-    scored = quality.score(docs.select("doc_id", "text"), model)
+    model = quality.train(docs, table("labels"), metadata=["n_chars"])
+    scored = quality.score(docs, model, metadata=["n_chars"])
     predicted = (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", predicted)
 

@@ -26,7 +26,9 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from rinse.llm.names import free_names
 from rinse.llm.sizes import broadcast_if_small
 from rinse.llm.suffix_arrays import Suffixes
 from rinse.llm.tokens import pieces_of
@@ -367,24 +369,29 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     Characters of which only a part is left go too. Texts without repeats, nulls included, stay.
     """
     spans = stored(repeated_spans(docs, length, gram), "spans")
-    columns = docs.columns
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
-                if found:
-                    data, parts, at = text.encode("utf-8", "surrogatepass"), [], 0
-                    for span in sorted((one["start"], one["stop"]) for one in found):
-                        parts.append(data[at : max(at, span[0])])
-                        at = max(at, span[1])
-                    text = b"".join([*parts, data[at:]]).decode("utf-8", "ignore")
-                texts.append(text)
-            arrays = [pa.array(texts, pa.string()) if name == "text" else batch.column(name) for name in columns]
-            yield pa.RecordBatch.from_arrays(arrays, names=columns)
-
+    u1, u2, found = free_names(docs, "u1", "u2", "spans")
     text = _text()
-    named = docs.withColumns({"_u1": F.xxhash64(text), "_u2": F.xxhash64(F.lit(7), text)})
-    spans = broadcast_if_small(spans.select(*(F.col(name).alias(f"_{name}") for name in ("u1", "u2", "spans"))), SMALL)
-    joined = named.join(spans, ["_u1", "_u2"], "left").select(*(F.col(f"`{name}`") for name in columns), "_spans")
-    return joined.mapInArrow(cut, docs.schema)
+    named = docs.withColumns({u1: F.xxhash64(text), u2: F.xxhash64(F.lit(7), text)})
+    spans = spans.select(F.col("u1").alias(u1), F.col("u2").alias(u2), F.col("spans").alias(found))
+    joined = named.join(broadcast_if_small(spans, SMALL), [u1, u2], "left")
+    # only texts with spans go to Python
+    cut = F.when(F.col(found).isNotNull(), _cut(F.struct(F.when(F.col(found).isNotNull(), F.col("text")).alias("text"), F.col(found).alias("spans"))))
+    cut = F.coalesce(cut, F.col("text").cast("string"))
+    kept = (cut.alias(name) if name == "text" else F.col(f"`{name}`") for name in docs.columns)
+    return joined.select(*kept)
+
+
+@F.arrow_udf(StringType())
+def _cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Texts without their spans of bytes; characters of which only a part is left go too."""
+    for rows in batches:
+        texts = []
+        for text, spans in zip(rows.field("text").to_pylist(), rows.field("spans").to_pylist(), strict=True):
+            if text is not None and spans:
+                data, parts, at = text.encode("utf-8", "surrogatepass"), [], 0
+                for start, stop in sorted((one["start"], one["stop"]) for one in spans):
+                    parts.append(data[at : max(at, start)])
+                    at = max(at, stop)
+                text = b"".join([*parts, data[at:]]).decode("utf-8", "ignore")
+            texts.append(text)
+        yield pa.array(texts, pa.string())

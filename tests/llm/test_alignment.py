@@ -56,8 +56,8 @@ def test_documents_against_tokens_one_by_one(spark):
     for work in (3, 1024):
         found = align_documents(docs, A, B, work=work)
         assert sorted(map(tuple, found.collect())) == sorted(rows)
-    found = aligned_groups(docs.where("doc_id in (0, 8)"), A, B, work=5).collect()
-    for doc_id in (0, 8):
+    found = aligned_groups(docs.where("doc_id in (2, 8)"), A, B, work=5).collect()
+    for doc_id in (2, 8):
         own = sorted((row.group, row.start, row.ids_a, row.ids_b) for row in found if row.doc_id == doc_id)
         assert [list(row[2:]) for row in own] == want[doc_id][2]
         sizes = np.cumsum([0] + [sum(len(tokenizer(A).pieces[i]) for i in row[2]) for row in own])
