@@ -44,8 +44,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _ready(spark)
-    model = quality.train(docs, _table(spark, sf_dir, "labels"))
-    return quality.keep_good(docs, model)
+    known = [name for name in ("n_chars",) if name in docs.columns]
+    model = quality.train(docs, _table(spark, sf_dir, "labels"), metadata=known)
+    return quality.keep_good(docs, model, metadata=known)
 
 
 def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.legacy.timeParserPolicy": "CORRECTED",
+    # Python workers get and return rows in batches that bound their memory.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
     # Tasks keep the first rows of a group only, however many are asked for.
     "spark.sql.optimizer.windowGroupLimitThreshold": "2000000000",
 }
