@@ -78,6 +78,31 @@ def folders_as_one_table(t):
     return read_folder(t.spark, root, kinds=("csv",))
 
 
+_PARTS_OF_ORDERS = {
+    0: ["o_orderkey", "o_custkey", "o_orderpriority"],
+    1: ["o_orderpriority", "o_orderkey"],
+    2: ["o_orderstatus", "o_custkey", "o_orderkey"],
+}
+
+
+def _files_of_orders(t) -> str:
+    """Orders in CSV files of three headers, with other columns in another order."""
+    root = scratch(t.spark, "headers")
+    for part, columns in _PARTS_OF_ORDERS.items():
+        rows = t.orders.where(F.col("o_orderkey") % 3 == part).select(*columns)
+        rows.write.options(header=True, escape='"').csv(f"{root}/part={part}")
+    return root
+
+
+@query("""
+    SELECT o_orderkey::VARCHAR AS o_orderkey,
+           CASE WHEN o_orderkey % 3 <> 1 THEN o_custkey::VARCHAR END AS o_custkey,
+           CASE WHEN o_orderkey % 3 <> 2 THEN o_orderpriority END AS o_orderpriority,
+           CASE WHEN o_orderkey % 3 = 2 THEN o_orderstatus END AS o_orderstatus FROM orders""")
+def folder_of_three_headers(t):
+    return read_folder(t.spark, _files_of_orders(t), kinds=("csv",))
+
+
 @query("""
     SELECT row_number() OVER (ORDER BY o_orderkey) AS row_number, o_orderkey::VARCHAR AS o_orderkey,
            o_orderpriority FROM orders""")
@@ -126,6 +151,22 @@ def previews_of_files(t):
     return preview_folder(t.spark, _chunk_files(t)).select("row", "c_custkey", "c_name")
 
 
+@query(f"""
+    SELECT row, c_custkey::VARCHAR AS c_custkey, c_name,
+           CASE WHEN c_custkey // {_CHUNK} % 2 = 1 THEN c_mktsegment END AS c_mktsegment FROM (
+        SELECT *, row_number() OVER (PARTITION BY c_custkey // {_CHUNK} ORDER BY c_custkey)::INT AS row
+        FROM customer) WHERE row <= 10""")
+def previews_of_differing_files(t):
+    # Every other file has a column more, and another order of columns.
+    root = scratch(t.spark, "differing")
+    chunk = F.floor(F.col("c_custkey") / _CHUNK).cast("long")
+    rows = t.customer.withColumn("chunk", chunk).repartition("chunk").sortWithinPartitions("chunk", "c_custkey")
+    for odd, columns in ((0, ["c_custkey", "c_name"]), (1, ["c_mktsegment", "c_name", "c_custkey"])):
+        part = rows.where(F.col("chunk") % 2 == odd).select("chunk", *columns)
+        part.write.partitionBy("chunk").options(header=True).csv(f"{root}/{odd}")
+    return preview_folder(t.spark, root).drop("file")
+
+
 # --- workbooks --------------------------------------------------------------------------
 
 

@@ -4,14 +4,28 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rinse.errors import INVALID_SPEC, PREVIEW_UNAVAILABLE, RinseError
-from rinse.sources.tables import ANY_CASE, CSV, XLSX, file_type, file_type_of, read_csv, read_source
-from rinse.sources.tables import unreadable
+from rinse.session import stored
+from rinse.sources.beginnings import beginnings, in_reach
+from rinse.sources.tables import (
+    ANY_CASE,
+    CSV,
+    CSV_OPTIONS,
+    XLSX,
+    file_type,
+    file_type_of,
+    files_below,
+    headers,
+    read_source,
+    string_schema,
+    unreadable,
+)
 
 # Sizes of a listing and of a preview.
 MAX_LISTED = 1000
@@ -83,17 +97,28 @@ def preview(spark: SparkSession, path: str) -> DataFrame:
 def preview_folder(spark: SparkSession, root: str, rows: int = PREVIEW_ROWS) -> DataFrame:
     """The first rows of every CSV file below a folder: ``file``, ``row``, then the columns.
 
-    Tasks keep the first rows of the files they hold, so little is shuffled even if one file
-    makes up most of the folder. All files are read, though: ``preview`` is for a single one.
+    Of each file the first 256 KiB are read, whatever its size (``file_beginnings`` says how much);
+    rows that do not end in them are not shown. Files may differ in their columns. A value with
+    line breaks ends at the first one.
     """
-    table = read_csv(spark, root, pathGlobFilter=ANY_CASE[CSV], recursiveFileLookup=True)
-    start = F.col("_metadata.file_block_start")
-    numbered = table.select(
-        F.col("_metadata.file_path").alias("file"),
-        start.alias("__start"),
-        F.monotonically_increasing_id().alias("__at"),
-        "*",
-    )
-    order = Window.partitionBy("file").orderBy("__start", "__at")
-    ranked = numbered.withColumn("row", F.row_number().over(order)).where(F.col("row") <= rows)
-    return ranked.select("file", "row", *(f"`{name.replace('`', '``')}`" for name in table.columns))
+    lines = stored(file_beginnings(spark, root, rows + 1).where(F.size("lines") > 0), "beginnings")
+    tables = []
+    for names, spelled in headers(lines.select(F.col("lines")[0].alias("line"))).items():
+        own = lines.where(F.col("lines")[0].isin(spelled))
+        shown = own.select(F.col("path").alias("file"), F.posexplode(F.slice("lines", 2, rows)).alias("row", "line"))
+        options = {"quote": CSV_OPTIONS["quote"], "escape": CSV_OPTIONS["escape"], "mode": "PERMISSIVE"}
+        values = F.from_csv("line", string_schema(list(names)), options)
+        columns = (values[name].alias(name) for name in names)
+        tables.append(shown.select("file", (F.col("row") + 1).alias("row"), *columns))
+    if not tables:
+        raise RinseError(PREVIEW_UNAVAILABLE, f"No CSV file with a header in {root}")
+    return reduce(lambda whole, table: whole.unionByName(table, allowMissingColumns=True), tables)
+
+
+def file_beginnings(spark: SparkSession, root: str, lines: int) -> DataFrame:
+    """``path, length, bytes_read, lines``: the first lines of every CSV file below a folder."""
+    files = files_below(spark, root, ANY_CASE[CSV])
+    one = files.select("path").first()
+    if one and not in_reach(one["path"]):
+        raise RinseError(PREVIEW_UNAVAILABLE, f"Only Spark's readers reach {root}; preview its files one by one")
+    return beginnings(files, lines)

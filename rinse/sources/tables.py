@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from rinse.errors import SOURCE_READ_ERROR, STORAGE_UNAVAILABLE, UNSUPPORTED_FILE_TYPE, RinseError, first_line
 from rinse.operators.cells import MATCHED
+from rinse.session import stored
+from rinse.sources.beginnings import column_names, glob_escaped, header_lines
 from rinse.sources.workbooks import read_xlsx
 
 CSV = "csv"
@@ -78,12 +81,55 @@ def read_source(spark: SparkSession, path: str, kind: str | None = None) -> Data
     raise RinseError(UNSUPPORTED_FILE_TYPE, f"Only .csv and .xlsx files can be read: {path}")
 
 
+def files_below(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """``path, length, modificationTime`` of the files whose names fit; no content is read."""
+    found = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=pattern)
+    try:
+        return found.load(root).select("path", "length", "modificationTime")
+    except PySparkException as error:
+        raise unreadable(root, error) from error
+
+
+def string_schema(names: list[str]) -> str:
+    """A schema of strings with these names."""
+    return ", ".join(f"`{name.replace('`', '``')}` string" for name in names)
+
+
+def headers(lines: DataFrame) -> dict[tuple[str, ...], list[str]]:
+    """The distinct headers among the first lines (``line``) of CSV files, each with the lines that spell it."""
+    found: dict[tuple[str, ...], list[str]] = {}
+    for row in lines.select("line").distinct().orderBy("line").collect():
+        found.setdefault(tuple(column_names(row["line"])), []).append(row["line"])
+    return found
+
+
+def read_csv_folder(spark: SparkSession, path: str, *, multi_line: bool = False) -> DataFrame:
+    """All CSV files below a folder as one table, by the names in their headers.
+
+    The first line of every file is read, a task taking many files. Files with one header are one
+    scan, and the scans are put together by name: a column that a file does not have is null, and
+    the order of columns does not matter. Names that differ in case are one column.
+    """
+    only = {"pathGlobFilter": ANY_CASE[CSV], "recursiveFileLookup": True}
+    lines = stored(header_lines(spark, files_below(spark, path, ANY_CASE[CSV])), "headers")
+    found = headers(lines)
+    if len(found) < 2:
+        return read_csv(spark, path, multi_line=multi_line, **only)
+    tables = []
+    for names, spelled in found.items():
+        paths = lines.where(F.col("line").isin(spelled)).select("path").orderBy("path")
+        # the names of files, which the scan keeps in the driver anyway
+        own = [glob_escaped(row["path"]) for row in paths.toLocalIterator()]
+        options = {**CSV_OPTIONS, **only, "multiLine": multi_line}
+        tables.append(spark.read.schema(string_schema(list(names))).options(**options).csv(own))
+    return reduce(lambda whole, table: whole.unionByName(table, allowMissingColumns=True), tables)
+
+
 def read_folder(spark: SparkSession, path: str, kinds: tuple[str, ...] = (CSV, XLSX)) -> DataFrame:
     """All CSV files and workbooks below a folder as one table; absent columns are null."""
     tables = []
     if CSV in kinds:
-        only = {"pathGlobFilter": ANY_CASE[CSV], "recursiveFileLookup": True}
-        tables.append(read_csv(spark, path, **only))
+        tables.append(read_csv_folder(spark, path))
     if XLSX in kinds:
         tables.append(read_xlsx(spark, path, recursive=True))
     filled = [table for table in tables if table.columns]
