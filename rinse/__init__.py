@@ -18,6 +18,7 @@ from rinse.operators.paging import (
     number_rows_of_files,
     page_index,
     read_page,
+    read_page_of,
 )
 from rinse.operators.profile import (
     classify_columns,
@@ -32,9 +33,9 @@ from rinse.operators.sampling import sample_values
 from rinse.plans.run import Stats, count_result, round_trip, run, run_replace, write_counted
 from rinse.plans.specs import Dates, Replace, Rules
 from rinse.session import configure
-from rinse.sources.catalogue import file_page, list_files, preview, preview_folder
+from rinse.sources.catalogue import file_beginnings, file_page, list_files, preview, preview_folder
 from rinse.sources.customers import customers
-from rinse.sources.tables import read_csv, read_folder, read_source
+from rinse.sources.tables import read_csv, read_csv_folder, read_folder, read_source
 from rinse.sources.workbooks import read_xlsx
 from rinse.streaming.streams import clean_stream, csv_stream, windowed_matches
 

@@ -11,17 +11,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rinse.operators.cells import MATCHED, ROW_ID, named, with_row_id
+from rinse.operators.footers import read_offsets, row_groups, with_rows_before
 from rinse.operators.lookup import lookup
 from rinse.session import stored
+from rinse.sources.beginnings import glob_escaped, in_reach
 
 ROW_NUMBER = "row_number"
 MAX_PAGE_SIZE = 500
 
 BUCKET_BITS = 20
+# Spark's ids have the task in front of these bits, and count its rows from 0 in them.
+_TASK_BITS = 33
 # Buckets are added up in blocks of this many bits' worth, then the blocks.
 BLOCK_BITS = 16
 # An offset takes three numbers, so up to four million buckets are broadcast.
@@ -110,11 +114,21 @@ def number_rows_by(df: DataFrame, keys: Sequence[str | Column]) -> DataFrame:
 
     Rows that agree in all keys keep the order they were read in. That makes every row's place
     unique, so the ranges of the sort are even, however many rows share a key. The sorted rows
-    are written to the shared folder, since a repeated sort may cut its ranges elsewhere.
+    are written to the shared folder, since a repeated sort may cut its ranges elsewhere. How many
+    rows each task has written, the footers of its file say.
     """
     tie = "__tie"
     ordered = df.withColumn(tie, F.monotonically_increasing_id()).orderBy(*keys, tie).drop(tie)
-    return number_rows(stored(with_row_id(ordered), "ordered")).drop(ROW_ID)
+    ordered = stored(with_row_id(ordered), "ordered")
+    files = ordered.inputFiles()
+    if not files or not in_reach(files[0]):
+        return number_rows(ordered).drop(ROW_ID)
+    task, groups = F.shiftright("low", _TASK_BITS), row_groups(df.sparkSession, files[0].rpartition("/")[0])
+    firsts = with_rows_before(groups).groupBy(task.alias("__task")).agg(F.min("before").alias("__before"))
+    rows = ordered.withColumn("__task", F.shiftright(named(ROW_ID), _TASK_BITS))
+    joined = lookup(rows, firsts, "__task", _OFFSETS_LIMIT, len(files) * _OFFSET_BYTES)
+    place = F.col("__before") + named(ROW_ID).bitwiseAND(F.lit((1 << _TASK_BITS) - 1)) + 1
+    return joined.select(place.cast("long").alias(ROW_NUMBER), *map(named, df.columns))
 
 
 def number_rows_of_files(df: DataFrame) -> DataFrame:
@@ -234,3 +248,43 @@ def read_page(
     number = F.row_number().over(Window.orderBy(named(ROW_ID))) + F.lit(start)
     shown = rows.select(number.cast("long").alias(ROW_NUMBER), *flag, *map(named, columns))
     return Page(shown.orderBy(ROW_NUMBER), columns, page, page_size, total)
+
+
+def read_page_of(spark: SparkSession, path: str, page: int, page_size: int) -> Page:
+    """One page of the result written to ``path``, found by the offsets that its run has left there.
+
+    No row outside of the page's files and row groups is looked at: one job reads the ranges that the
+    page touches, one the page. Results without offsets, or with ids that have gaps or overlap, are
+    paged by ``read_page``.
+    """
+    offsets = read_offsets(spark, path)
+    if offsets is None:
+        return read_page(spark.read.parquet(path), page, page_size)
+    page, page_size = max(page, 1), clamp_page_size(page_size)
+    start = (page - 1) * page_size
+    inside = (F.col("before") < start + page_size) & (F.col("before") + F.col("rows") > start)
+    touched = F.struct("before", "low", "high", "rows", "path")
+    found = offsets.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("total"),
+        F.coalesce(F.bool_and("fit"), F.lit(True)).alias("fit"),
+        F.coalesce(F.bool_and(F.when(inside, _gapless())), F.lit(True)).alias("dense"),
+        F.sort_array(F.collect_list(F.when(inside, touched))).alias("ranges"),
+    ).first()
+    if not (found["fit"] and found["dense"]):
+        return read_page(spark.read.parquet(path), page, page_size)
+    ranges = found["ranges"]
+    rows = spark.read.parquet(*sorted({glob_escaped(one["path"]) for one in ranges})) if ranges else spark.read.parquet(path).limit(0)
+    columns = [name for name in rows.columns if name not in (ROW_ID, MATCHED)]
+    flag = [named(MATCHED)] if MATCHED in rows.columns else []
+    number = F.lit(None).cast("long")
+    if ranges:
+        ids = [one["low"] + max(start - one["before"], 0) for one in ranges]
+        last = min(start + page_size - ranges[-1]["before"], ranges[-1]["rows"]) + ranges[-1]["low"] - 1
+        rows = id_range(rows, ids[0], last)
+        number = F.coalesce(*(
+            F.when(named(ROW_ID).between(one["low"], one["high"]), named(ROW_ID) + (one["before"] - one["low"] + 1))
+            for one in ranges
+        ))
+    shown = rows.select(number.cast("long").alias(ROW_NUMBER), *flag, *map(named, columns))
+    # a page of rows: one task puts them in order
+    return Page(shown.coalesce(1).sortWithinPartitions(ROW_NUMBER), columns, page, page_size, found["total"])

@@ -10,8 +10,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from rinse.operators.cells import MATCHED, named, with_row_id
+from rinse.operators.cells import MATCHED, ROW_ID, named, with_row_id
 from rinse.operators.find_replace import find_replace
+from rinse.operators.footers import write_offsets
 from rinse.plans.specs import Replace
 from rinse.sources.tables import read_flags, read_source, unreadable, write_parquet
 
@@ -30,10 +31,16 @@ def counts() -> list[Column]:
 
 
 def write_counted(result: DataFrame, path: str) -> Stats:
-    """Write the result and count rows and matches in the same pass."""
+    """Write the result and count rows and matches in the same pass.
+
+    A result with row ids gets the offsets of its pages beside it, from the footers of its files.
+    """
     seen = Observation()
     write_parquet(result.observe(seen, *counts()), path)
-    return Stats(**seen.get)
+    stats = Stats(**seen.get)
+    if ROW_ID in result.columns:
+        write_offsets(result.sparkSession, path)
+    return stats
 
 
 def count_result(spark: SparkSession, path: str) -> DataFrame:

@@ -151,15 +151,18 @@ def previews_of_files(t):
     return preview_folder(t.spark, _chunk_files(t)).select("row", "c_custkey", "c_name")
 
 
+_SMALL = 60
+
+
 @query(f"""
     SELECT row, c_custkey::VARCHAR AS c_custkey, c_name,
-           CASE WHEN c_custkey // {_CHUNK} % 2 = 1 THEN c_mktsegment END AS c_mktsegment FROM (
-        SELECT *, row_number() OVER (PARTITION BY c_custkey // {_CHUNK} ORDER BY c_custkey)::INT AS row
+           CASE WHEN c_custkey // {_SMALL} % 2 = 1 THEN c_mktsegment END AS c_mktsegment FROM (
+        SELECT *, row_number() OVER (PARTITION BY c_custkey // {_SMALL} ORDER BY c_custkey)::INT AS row
         FROM customer) WHERE row <= 10""")
 def previews_of_differing_files(t):
     # Every other file has a column more, and another order of columns.
     root = scratch(t.spark, "differing")
-    chunk = F.floor(F.col("c_custkey") / _CHUNK).cast("long")
+    chunk = F.floor(F.col("c_custkey") / _SMALL).cast("long")
     rows = t.customer.withColumn("chunk", chunk).repartition("chunk").sortWithinPartitions("chunk", "c_custkey")
     for odd, columns in ((0, ["c_custkey", "c_name"]), (1, ["c_mktsegment", "c_name", "c_custkey"])):
         part = rows.where(F.col("chunk") % 2 == odd).select("chunk", *columns)

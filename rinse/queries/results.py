@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rinse.operators.cells import MATCHED, ROW_ID, with_row_id
 from rinse.operators.find_replace import find_replace
-from rinse.operators.paging import id_range, number_rows, number_rows_by, page_index, read_page
+from rinse.operators.paging import id_range, number_rows, number_rows_by, page_index, read_page, read_page_of
 from rinse.operators.sampling import sample_values
 from rinse.plans.run import count_result, write_counted
 from rinse.queries.registry import query
@@ -78,6 +78,22 @@ def last_page_of_lineitems(t):
     return read_page(result, pages, 50).rows
 
 
+@query("""
+    SELECT row_number, contains(old, 'URGENT') AS __matched, o_orderkey, o_orderpriority, pages
+    FROM (SELECT o_orderkey, replace(o_orderpriority, 'URGENT', 'now') AS o_orderpriority,
+                 o_orderpriority AS old, row_number() OVER (ORDER BY o_orderkey) AS row_number,
+                 ceil(count(*) OVER () / 60)::BIGINT AS pages FROM orders)
+    WHERE row_number > (pages - 2) * 60""")
+def last_pages_by_kept_offsets(t):
+    # The run leaves the offsets of its pages beside the result; no page looks at other rows.
+    path = scratch(t.spark, "result")
+    ordered = t.plain("orders").select("o_orderkey", "o_orderpriority").orderBy("o_orderkey")
+    write_counted(find_replace(with_row_id(ordered), ["o_orderpriority"], "URGENT", "now"), path)
+    last = read_page_of(t.spark, path, 1, 60).total_pages
+    rows = read_page_of(t.spark, path, last, 60).rows.unionByName(read_page_of(t.spark, path, last - 1, 60).rows)
+    return rows.withColumn("pages", F.lit(last).cast("long"))
+
+
 @query("""
     SELECT (n - 1) // 250 + 1 AS page, count(*) AS rows,
            min(o_orderkey) AS first_key, max(o_orderkey) AS last_key

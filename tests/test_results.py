@@ -13,47 +13,118 @@ from rinse import (
     number_rows_by,
     page_index,
     read_page,
+    read_page_of,
     sample_values,
     with_row_id,
     write_counted,
 )
 from rinse.operators import paging
+from rinse.operators.footers import read_offsets, write_offsets
 from rinse.operators.lookup import fits_broadcast, hot_keys, lookup
 from rinse.operators.paging import clamp_page_size, id_range, offsets_of, total_pages
 from rinse.session import scratch, stored
 from tests.conftest import values
 
-PARTS = [(0, "John", True), (1, "Jane", False), (2, "Ann", True)]
-PARTS += [(8589934592, "Bob", False), (8589934593, "Eve", True)]
+def tasks_with(*sizes: int) -> list[tuple]:
+    """Rows as tasks number them, a third of them hits; every task has ids of its own."""
+    return [(task * 2**33 + at, f"{task}/{at}", (task + at) % 3 == 0) for task, size in enumerate(sizes) for at in range(size)]
 
 
-@pytest.fixture(scope="module")
-def result(spark):
-    schema = f"{ROW_ID} long, Name string, __matched boolean"
-    return stored(spark.createDataFrame(PARTS, schema).repartition(2), "parts")
+SCHEMA = f"{ROW_ID} long, place string, __matched boolean"
 
 
-def test_pages_across_part_files(result):
-    first = read_page(result, 1, 2)
-    assert values(first.rows) == [(1, True, "John"), (2, False, "Jane")]
-    assert (first.columns, first.total_pages, first.total_rows) == (["Name"], 3, 5)
-    assert values(read_page(result, 2, 2).rows) == [(3, True, "Ann"), (4, False, "Bob")]
-    assert values(read_page(result, 3, 2).rows) == [(5, True, "Eve")]
-    assert values(read_page(result, 0, 2).rows) == values(first.rows)
+@pytest.fixture(scope="module")
+def result(spark):
+    return stored(spark.createDataFrame(tasks_with(4, 0, 1, 7), SCHEMA).repartition(3), "parts")
 
 
-def test_past_the_end_and_sizes(result):
-    past = read_page(result, 10, 2)
-    assert values(past.rows) == [] and past.rows.columns == ["row_number", "__matched", "Name"]
-    assert read_page(result, 1, 10_000).page_size == 500
+@pytest.mark.parametrize("size", [1, 5, 11, 12, 13])
+def test_pages_cover_the_rows_in_order(result, size):
+    rows = [(at, hit, place) for at, (_, place, hit) in enumerate(tasks_with(4, 0, 1, 7), 1)]
+    pages = -(-len(rows) // size)
+    offsets = offsets_of(result)
+    for page in range(1, pages + 2):
+        found = read_page(result, page, size, offsets if page % 2 else None)
+        assert values(found.rows) == rows[(page - 1) * size : page * size]
+        assert found.rows.columns == ["row_number", "__matched", "place"]
+        assert (found.columns, found.total_rows, found.total_pages) == (["place"], len(rows), pages)
+    assert values(read_page(result, -3, size).rows) == rows[:size]
+
+
+def test_sizes_of_pages(result):
+    for asked, given in ((-7, 1), (0, 1), (1, 1), (499, 499), (500, 500), (9_999, 500)):
+        assert clamp_page_size(asked) == read_page(result, 1, asked).page_size == given
+    for rows in range(30):
+        assert total_pages(rows, 7) == max(1, len(range(0, rows, 7)))
     assert read_page(result.limit(0), 1, 50).total_pages == 1
-    assert [clamp_page_size(n) for n in (-1, 0, 1, 500, 501)] == [1, 1, 1, 500, 500]
-    assert [total_pages(n, 2) for n in (0, 1, 2, 3)] == [1, 1, 1, 2]
 
 
-def test_offsets_can_be_kept(result):
-    offsets = offsets_of(result)
-    assert [values(read_page(result, n, 3, offsets).rows)[0][0] for n in (1, 2)] == [1, 4]
+# offsets from footers
+
+
+def kept_result(spark, rows, files, **options):
+    """A result as tasks write it, with the offsets beside it."""
+    path = scratch(spark, "kept")
+    df = spark.createDataFrame(rows, SCHEMA)
+    df.repartitionByRange(files, ROW_ID).sortWithinPartitions(ROW_ID).write.options(**options).parquet(path)
+    write_offsets(spark, path)
+    return path
+
+
+def test_pages_by_footers(spark):
+    rows = tasks_with(40, 0, 3, 1, 90)
+    path = kept_result(spark, rows, 4, **{"parquet.block.row.count.limit": 7})
+    ranges = read_offsets(spark, path).orderBy("low").collect()
+    assert len(ranges) > 15 and all(one.fit and one.rows <= 7 for one in ranges)
+    assert [one.before for one in ranges] == [sum(o.rows for o in ranges[:at]) for at in range(len(ranges))]
+    assert spark.read.parquet(path).count() == len(rows)
+    for size in (1, 7, 50, 134, 500):
+        pages = -(-len(rows) // size)
+        for page in {1, 2, pages // 2 + 1, pages, pages + 1}:
+            found = read_page_of(spark, path, page, size)
+            wanted = rows[(page - 1) * size : page * size]
+            assert values(found.rows) == [((page - 1) * size + at, hit, place) for at, (_, place, hit) in enumerate(wanted, 1)]
+            assert (found.total_rows, found.total_pages) == (len(rows), pages)
+
+
+def test_a_page_reads_its_files_only(spark):
+    path = kept_result(spark, tasks_with(50, 50, 50, 50), 4)
+    page = read_page_of(spark, path, 20, 10)
+    assert len(page.rows.inputFiles()) == 1
+    plan = page.rows._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(__row_id), GreaterThanOrEqual(__row_id" in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize("broken", ["gaps", "overlap", "no statistics", "nothing kept"])
+def test_pages_where_footers_do_not_say(spark, broken):
+    rows = tasks_with(30, 20)
+    if broken == "gaps":
+        rows = [row for row in rows if row[0] % 3]
+    if broken == "overlap":
+        path = scratch(spark, "overlap")
+        spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(path)
+        write_offsets(spark, path)
+        assert not all(row.fit for row in read_offsets(spark, path).collect())
+    elif broken == "nothing kept":
+        path = scratch(spark, "none")
+        spark.createDataFrame(rows, SCHEMA).write.parquet(path)
+        assert read_offsets(spark, path) is None
+    else:
+        options = {f"parquet.column.statistics.enabled#{ROW_ID}": "false"} if broken == "no statistics" else {}
+        path = kept_result(spark, rows, 2, **options)
+    found = read_page_of(spark, path, 2, 9)
+    assert values(found.rows) == [(9 + at, hit, place) for at, (_, place, hit) in enumerate(rows[9:18], 1)]
+    assert found.total_rows == len(rows)
+
+
+def test_a_run_leaves_offsets_and_replaces_them(spark):
+    path = scratch(spark, "run")
+    for many in (25, 10, 0):
+        table = with_row_id(spark.range(many).select(F.col("id").cast("string").alias("v")))
+        write_counted(find_replace(table, ["v"], "1", "x"), path)
+        found = read_page_of(spark, path, 1, 20)
+        assert found.total_rows == many and len(found.rows.collect()) == min(many, 20)
+        assert found.rows.columns == ["row_number", "__matched", "v"]
 
 
 def random_ids(seed: int, count: int) -> list[int]:
