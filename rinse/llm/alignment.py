@@ -28,6 +28,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rinse.llm.memory import giving_back
 from rinse.llm.shared_files import opened
 from rinse.llm.tokens import pieces_of
 from rinse.session import scratch
@@ -290,6 +291,7 @@ _SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_
 def _aligned(docs: DataFrame, path_a: str, path_b: str, work: int) -> DataFrame:
     """Each document with its figures, its distinct links and how often each occurs."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(path_a, path_b, work)
         for batch in batches:
@@ -307,6 +309,7 @@ def _aligned(docs: DataFrame, path_a: str, path_b: str, work: int) -> DataFrame:
     return rows.mapInArrow(run, f"{_SCHEMA}, codes binary, times binary")
 
 
+@giving_back
 def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many of the rows have each code, added up over as many rows as memory allows."""
 
@@ -368,6 +371,7 @@ def _looked_up(files: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterato
         out = out.append_column("count_sum", per_text(times * docs[place]))
         return out.combine_chunks().to_batches()[0]
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
@@ -418,6 +422,7 @@ def aligned_groups(docs: DataFrame, path_a: str, path_b: str, work: int = PIECE)
     Texts without tokens have no rows; otherwise as ``align_documents``.
     """
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(path_a, path_b, work)
         for batch in batches:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from rinse.llm.dom import Tree, parse
 from rinse.llm.labelled_pages import labelled_pages
+from rinse.llm.memory import giving_back
 
 OTHER, MIXED, CONTENT = range(3)
 TEXT, PLAIN, APART = range(3)  # kinds of pairs: with a text, an element that only arranges, another one
@@ -240,6 +241,7 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """
     fitted = model or default_model()
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column("html")), 0).to_numpy(zero_copy_only=False)

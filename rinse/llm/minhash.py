@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rinse.llm.components import connected_components
+from rinse.llm.memory import giving_back
 from rinse.llm.sizes import broadcast_if_small
 from rinse.llm.tokens import pieces_of
 from rinse.session import stored
@@ -147,6 +148,7 @@ def _text() -> Column:
 def _sketches(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, hash (of the text), n (distinct shingles), content (hash of the set), signature, parities."""
 
+    @giving_back
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
         for batch in batches:
@@ -169,6 +171,7 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
 def _under_keys(nodes: DataFrame) -> DataFrame:
     """A row (key, node) for each key of each node."""
 
+    @giving_back
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
@@ -190,6 +193,7 @@ def _possible(apart: np.ndarray, one: np.ndarray, other: np.ndarray, share: Frac
 def _alike(pairs: DataFrame, nodes: DataFrame, share: Fraction) -> DataFrame:
     """The pairs (a, b) that the bitmaps do not rule out."""
 
+    @giving_back
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.zeros(batch.num_rows, bool)
@@ -210,6 +214,7 @@ def _alike(pairs: DataFrame, nodes: DataFrame, share: Fraction) -> DataFrame:
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, share: Fraction) -> DataFrame:
     """Pairs (a, b) whose full sets of shingles are similar."""
 
+    @giving_back
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
         for batch in batches:
@@ -242,6 +247,7 @@ def _across(named: DataFrame, nodes: DataFrame, share: Fraction, nearest: int |
     part of the members in one task; of each asker the ``nearest`` or all pairs leave it.
     """
 
+    @giving_back
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:

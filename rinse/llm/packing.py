@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rinse.llm.memory import giving_back
 from rinse.llm.tokens import END_OF_SEQUENCE, encoder, pieces_of, word_tokenizer
 from rinse.session import stored
 
@@ -92,6 +93,7 @@ def pieces(
     schema = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
     schema += ", ids array<int>" if with_ids else ""
 
+    @giving_back
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, row = encoder(path), TaskContext.get().partitionId() << 40
         for batch in batches:

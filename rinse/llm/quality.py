@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rinse.llm.memory import giving_back
 from rinse.llm.names import free_names
 from rinse.llm.tokens import pieces_of
 
@@ -26,7 +27,7 @@ FACTORS = 8
 SAMPLE = 4000
 EPOCHS, STEPS = 12, 400  # at least so many of each
 THRESHOLD = 0.3
-_SLICE = 1 << 20  # bytes of text turned into features at once
+_SLICE = 1 << 19  # bytes of text turned into features at once
 _KINDS = ("upper", "digit", "exclaim", "line", "beyond", "sign")
 
 
@@ -223,6 +224,7 @@ def train(
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # ``sample`` rows at most
     texts = docs.select("doc_id", _inputs(metadata).alias("inputs")).join(chosen, "doc_id")
 
+    @giving_back
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
@@ -262,6 +264,7 @@ def score(docs: DataFrame, model: Model, column: str = "score", metadata: Sequen
     """
 
     @F.arrow_udf("double")
+    @giving_back
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         features = Features()
         for rows in batches:

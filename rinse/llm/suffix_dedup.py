@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from rinse.llm.memory import giving_back
 from rinse.llm.names import free_names
 from rinse.llm.sizes import broadcast_if_small
 from rinse.llm.suffix_arrays import Suffixes
@@ -93,6 +94,7 @@ def _named(docs: DataFrame) -> DataFrame:
 def _texts(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """Each distinct text with its smallest doc_id, its copies, and its anchors: v, context, place."""
 
+    @giving_back
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces_of(batch, _CHUNK):
@@ -153,6 +155,7 @@ _CONTEXT = "shard long, hot boolean, known boolean, u1 long, u2 long, start long
 def _contexts(docs: DataFrame, wanted: DataFrame, shards: int, length: int, gram: int) -> DataFrame:
     """The bytes of the contexts to be compared, each with its shard."""
 
+    @giving_back
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -335,6 +338,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     """
     spans = stored(repeated_spans(docs, length, gram), "spans")
 
+    @giving_back
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -382,6 +386,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 
 
 @F.arrow_udf(StringType())
+@giving_back
 def _cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Texts without their spans of bytes; characters of which only a part is left go too."""
     for rows in batches:

@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rinse.llm.memory import giving_back
 from rinse.llm.shared_files import opened, written
 from rinse.llm.tokens import END_OF_DOCUMENT, encoder, pieces_of, word_tokenizer
 
@@ -158,6 +159,7 @@ def write_tokens(
     """
     path = tokenizer or word_tokenizer()
 
+    @giving_back
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, number = encoder(path), TaskContext.get().partitionId(), 0
         ids, counts, names = [], [], []
@@ -210,6 +212,7 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = True) -> Data
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     schema += ", ids array<int>" if with_ids else ""
 
+    @giving_back
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():

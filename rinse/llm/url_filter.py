@@ -19,6 +19,7 @@ from pyspark import SparkFiles, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rinse.llm.memory import giving_back
 from rinse.llm.shared_files import local_path, written
 
 ALLOW, BLOCK = "allow", "block"
@@ -53,6 +54,7 @@ def write_rules(rules: DataFrame, folder: str) -> DataFrame:
     blocks = F.max((F.col("verdict") == BLOCK).cast("int")).alias("blocks")
     whole = whole.groupBy("host", "path").agg(blocks)
 
+    @giving_back
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts, paths, verdicts = (column.to_pylist() for column in batch.columns)
@@ -65,6 +67,7 @@ def write_rules(rules: DataFrame, folder: str) -> DataFrame:
                 names=["digest", "key", "length", "blocks"],
             )
 
+    @giving_back
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches, schema=_RULES)
         if not table.num_rows:
@@ -149,6 +152,7 @@ def judge(urls: DataFrame, folder: str, url: str = "url", default: str = ALLOW)
     parts = urls.select(*(F.col(f"`{name}`") for name in kept), host_of(F.col(url)).alias("host"),
                         path_of(F.col(url)).alias("path"))
 
+    @giving_back
     def verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         paths = [(path if shared else SparkFiles.get(path), rules) for path, rules in named]
         arrays = [DigestArray(path, rules) for path, rules in paths]
