@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType
+from pyspark.sql.types import BinaryType, IntegerType, StringType, StructField, StructType
 
 from rinse.operators.cells import named
-from rinse.session import stored
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 # Rows of one key that a task should get at most; a key with more is dealt out over several.
 ROWS_PER_TASK = 1_000_000
+# Of so many frequent keys the counts are tracked, and so many are looked at.
+TRACKED, HOTTEST = 10_000, 1000
 
 # Type names whose values take at most 16 bytes.
 _FIXED = {
@@ -32,14 +33,16 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return size <= limit
 
 
-def hot_keys(rows: DataFrame, key: str, per_task: int) -> DataFrame:
-    """Keys with more than ``per_task`` rows, and over how many tasks (``__tasks``) each is dealt.
+def hot_keys(rows: DataFrame, key: str, per_task: int) -> dict:
+    """Keys with more than ``per_task`` rows, and over how many tasks each should be dealt.
 
-    Rows are counted in the tasks first; only the hot keys are written.
+    A sketch of the most frequent keys: tasks pass on at most ``TRACKED`` counts each, and one
+    row comes back. Counts of keys with less than about a ``TRACKED``-th of all rows may be off,
+    which changes only how rows are dealt.
     """
-    tasks = F.ceil(F.count(F.lit(1)) / per_task).cast("int").alias("__tasks")
-    counted = rows.where(named(key).isNotNull()).groupBy(key).agg(tasks)
-    return stored(counted.where(F.col("__tasks") > 1), "hot-keys")
+    sketch = F.expr(f"approx_top_k(`{key.replace('`', '``')}`, {HOTTEST}, {TRACKED})")
+    found = rows.where(named(key).isNotNull()).agg(sketch.alias("top")).first()["top"] or []
+    return {one["item"]: -(-one["count"] // per_task) for one in found if one["count"] > per_task}
 
 
 def lookup(
@@ -60,7 +63,11 @@ def lookup(
     if fits_broadcast(answers, limit) if size is None else size <= limit:
         return rows.join(F.broadcast(answers), key, "left")
     salt, tasks = "__salt", "__tasks"
-    hot = hot_keys(rows, key, per_task)
+    found = hot_keys(rows, key, per_task)
+    if not found:  # nulls, which find nothing, are dealt out by AQE if they are many
+        return rows.join(answers, key, "left")
+    schema = StructType([StructField(key, rows.schema[key].dataType), StructField(tasks, IntegerType())])
+    hot = F.broadcast(rows.sparkSession.createDataFrame(list(found.items()), schema))  # HOTTEST rows at most
     # The salt follows from the row and the task that holds it, so a repeated task gives the
     # same one, and equal rows from different tasks still part ways.
     dealt = F.xxhash64(F.spark_partition_id(), *map(named, rows.columns))

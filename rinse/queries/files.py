@@ -23,7 +23,15 @@ from rinse.sources.catalogue import list_files, preview_folder
 from rinse.sources.customers import customers
 from rinse.sources.tables import file_type_of, read_csv, read_folder
 from rinse.sources.workbooks import read_workbooks
-from rinse.streaming.streams import clean_stream, csv_stream, windowed_matches
+from rinse.streaming.streams import (
+    clean_stream,
+    clean_stream_counted,
+    csv_stream,
+    keep_windows,
+    kept_windows,
+    stream_stats,
+    windowed_matches,
+)
 
 
 def _as_csv(df, label: str, **options) -> str:
@@ -341,3 +349,40 @@ def daily_matches_on_a_stream(t):
     )
     counted = windowed_matches(stream, "ts", _hit(), "1 day", lateness="40 days")
     return _by_day(_finished(t, counted, lambda df: df))
+
+
+@query("""
+    SELECT CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS batch, count(*) AS row_count,
+           count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS matched_count FROM customer GROUP BY 1""")
+def counts_of_a_restarted_stream(t):
+    # Two thirds of the customers come first; the query ends, is started again, and finds the rest.
+    folder, places = scratch(t.spark, "stream-csv"), [scratch(t.spark, name) for name in ("stream", "stats", "checkpoint")]
+    for late in (False, True, None):
+        if late is not None:
+            rows = t.customer.where((F.col("c_custkey") % 3 == 0) == late).select("c_custkey", "c_mktsegment")
+            rows.write.mode("append").options(header=True, escape='"').csv(folder)
+        stream = csv_stream(t.spark, folder, ["c_custkey", "c_mktsegment"])
+        build = lambda df: find_replace(df, ["c_mktsegment"], "BUILDING", "house")
+        clean_stream_counted(stream, build, *places).awaitTermination()
+    return stream_stats(t.spark, places[1])
+
+
+@query(r"""
+    WITH days AS (SELECT *, date_trunc('day', ts) AS day FROM events),
+    early AS (SELECT max(ts) - INTERVAL 2 DAYS AS passed FROM days WHERE event_id % 7 <> 0)
+    SELECT strftime(day, '%Y-%m-%d') AS day, count(*) AS rows,
+           count(*) FILTER (WHERE regexp_matches(props, '"k": [0-9]?7\b')) AS matched,
+           (SELECT count(*) FROM days, early WHERE event_id % 7 = 0 AND day + INTERVAL 1 DAY <= passed) AS late
+    FROM days, early WHERE event_id % 7 <> 0 OR day + INTERVAL 1 DAY > passed GROUP BY 1""")
+def daily_matches_with_late_rows(t):
+    # A seventh of the events comes after the others; what is within two days still counts.
+    folder, output, checkpoint = (scratch(t.spark, name) for name in ("events", "windows", "checkpoint"))
+    events = t.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "props")
+    for last in (False, True):
+        events.where((F.col("event_id") % 7 == 0) == last).write.mode("append").parquet(folder)
+        stream = t.spark.readStream.schema(events.schema).parquet(folder)
+        counted = windowed_matches(stream, "ts", _hit(), "1 day", lateness="2 days")
+        keep_windows(counted, output, checkpoint).awaitTermination()
+    windows = kept_windows(t.spark, output)
+    late = events.count() - windows.agg(F.sum("rows")).first()[0]
+    return _by_day(windows).withColumn("late", F.lit(late).cast("long"))

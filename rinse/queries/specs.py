@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from rinse.functions import masks
 from rinse.functions.patterns import NAMED_PATTERNS
 from rinse.functions.text import fingerprint, samples_text, squeeze
+from rinse.operators.lookup import lookup
+from rinse.plans.answers import AnswerStore
 from rinse.plans.audit import audit_patterns
 from rinse.plans.reuse import answer_known, still_unknown, well_formed
 from rinse.plans.suggestions import read_classifications, read_normalizations, read_patterns
 from rinse.plans.validation import date_problem, replacement_problem
 from rinse.queries.registry import query, quoted
+from rinse.session import scratch
 
 
 def _case(key, options: list) -> F.Column:
@@ -295,3 +298,60 @@ def stored_suggestions_checked_on_use(t):
     known = _known(t).select("fingerprint", suggestion.alias("suggestion"))
     usable = well_formed(read_normalizations(known)).select("fingerprint", "status")
     return answer_known(_requests(t), usable).select("conv_id", "turn", "status", "cached")
+
+
+_ENTRIES_SQL = f"""
+    requests AS (SELECT conv_id, turn, {_FINGERPRINT} AS fingerprint FROM conversations),
+    entries AS (
+        SELECT fingerprint, 1 AS version, 'old' AS answer, 'good' AS state FROM requests WHERE turn = 1
+        UNION ALL SELECT fingerprint, 2, min(conv_id)::VARCHAR, 'good' FROM requests WHERE turn = 0 GROUP BY 1
+        UNION ALL SELECT fingerprint, 3, 'new ' || min(conv_id), CASE WHEN min(conv_id) % 4 = 0 THEN 'bad' ELSE 'good' END
+                  FROM requests WHERE turn = 0 AND conv_id % 2 = 0 GROUP BY 1),
+    latest AS (SELECT fingerprint, max(version) AS version, arg_max(answer, version) AS answer FROM entries
+               WHERE version >= 2 AND state = 'good' GROUP BY 1)"""
+
+
+def _store(t) -> AnswerStore:
+    """Three batches of answers: too old ones, first answers, and newer ones of which some are unfit."""
+    requests = _requests(t)
+    first = F.min("conv_id").alias("first")
+    store = AnswerStore(t.spark, scratch(t.spark, "answers"), ["answer", "state"], buckets=8)
+    good = F.lit("good").alias("state")
+    store.append(requests.where("turn = 1").select("fingerprint", F.lit("old").alias("answer"), good), 1)
+    asked = store.unknown(requests.where("turn = 0"), oldest=2).select("fingerprint")
+    begun = requests.where("turn = 0").groupBy("fingerprint").agg(first)
+    store.append(asked.join(begun, "fingerprint").select("fingerprint", F.col("first").alias("answer"), good), 2)
+    even = requests.where("turn = 0 and conv_id % 2 = 0").groupBy("fingerprint").agg(first)
+    state = F.when(F.col("first") % 4 == 0, "bad").otherwise("good").alias("state")
+    store.append(even.select("fingerprint", F.concat(F.lit("new "), "first").alias("answer"), state), 3)
+    return store
+
+
+@query(f"""
+    WITH {_ENTRIES_SQL}
+    SELECT conv_id, turn, version, answer, answer IS NOT NULL AS cached
+    FROM requests LEFT JOIN latest USING (fingerprint)""")
+def requests_answered_from_a_store(t):
+    answered = _store(t).answer(_requests(t), oldest=2, fit=F.col("state") == "good")
+    return answered.select("conv_id", "turn", "version", "answer", "cached")
+
+
+@query(f"""
+    WITH {_ENTRIES_SQL}
+    SELECT fingerprint, count(*) AS requests FROM requests ANTI JOIN latest USING (fingerprint) GROUP BY 1""")
+def requests_that_the_store_cannot_answer(t):
+    return _store(t).unknown(_requests(t), oldest=2, fit=F.col("state") == "good")
+
+
+@query("""
+    WITH asked AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 5 < 3 THEN 'common' ELSE 'order ' || l_orderkey END AS k
+                   FROM lineitem),
+    known AS (SELECT 'order ' || o_orderkey AS k, o_orderpriority AS answer FROM orders UNION ALL SELECT 'common', 'all')
+    SELECT l_orderkey, l_linenumber, answer FROM asked LEFT JOIN known USING (k)""")
+def one_key_on_most_lineitems(t):
+    # A sketch finds the key that over half of the rows share; its rows are dealt out over many tasks.
+    key = F.when(F.col("l_orderkey") % 5 < 3, "common").otherwise(F.concat(F.lit("order "), "l_orderkey"))
+    asked = t.lineitem.select("l_orderkey", "l_linenumber", key.alias("k"))
+    known = t.orders.select(F.concat(F.lit("order "), "o_orderkey").alias("k"), F.col("o_orderpriority").alias("answer"))
+    known = known.unionByName(t.spark.range(1).select(F.lit("common").alias("k"), F.lit("all").alias("answer")))
+    return lookup(asked, known, "k", limit=0, per_task=10_000).drop("k")

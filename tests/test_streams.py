@@ -11,6 +11,14 @@ from rinse import (
     with_row_id,
 )
 from rinse.session import scratch
+from rinse.streaming.streams import (
+    clean_stream_counted,
+    cleaned_rows,
+    dropped_groups,
+    keep_windows,
+    kept_windows,
+    stream_stats,
+)
 from tests.conftest import values
 
 
@@ -62,3 +70,49 @@ def test_windows(spark):
     found = windowed_matches(df, "ts", F.col("v").rlike("a"), "1 hour", lateness="5 minutes")
     shown = found.select(F.date_format("start", "HH:mm"), "rows", "matched")
     assert sorted(values(shown)) == [("00:00", 2, 1), ("01:00", 1, 0)]
+
+
+def events_of(spark, rows):
+    return spark.createDataFrame(rows, "ts string, v string").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def test_rows_after_the_watermark_are_dropped(spark):
+    folder, output, checkpoint = (scratch(spark, name) for name in ("events", "windows", "checkpoint"))
+    arrivals = [
+        [("2024-01-01 00:10:00", "a"), ("2024-01-01 05:00:00", "b")],
+        # the watermark is at 03:00: the first row is too late, the others are not
+        [("2024-01-01 00:20:00", "a"), ("2024-01-01 02:59:00", "b"), ("2024-01-01 03:30:00", "a")],
+        [("2024-01-01 05:10:00", "a")],
+    ]
+    dropped = 0
+    for rows in arrivals:
+        events = events_of(spark, rows)
+        events.write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(events.schema).parquet(folder)
+        query = keep_windows(windowed_matches(stream, "ts", F.col("v") == "a", "1 hour", "2 hours"), output, checkpoint)
+        query.awaitTermination()
+        dropped += dropped_groups(query)
+    shown = kept_windows(spark, output).select(F.date_format("start", "HH:mm"), "rows", "matched")
+    assert sorted(values(shown)) == [("00:00", 1, 1), ("03:00", 1, 1), ("05:00", 2, 1)]
+    assert dropped == 2  # 00:20 and 02:59, whose windows end at or before the watermark
+
+
+def test_counts_of_batches_stay_right_when_one_is_repeated(spark, tmp_path):
+    places = [scratch(spark, name) for name in ("stream", "stats", "checkpoint")]
+    build = lambda df: find_replace(df, ["v"], "a", "b")
+
+    def finish(places):
+        clean_stream_counted(csv_stream(spark, str(tmp_path), ["v"]), build, *places).awaitTermination()
+
+    (tmp_path / "1.csv").write_text("v\na\nc\n")
+    finish(places)
+    (tmp_path / "2.csv").write_text("v\nxax\n")
+    finish(places)
+    finish(places)
+    assert sorted(values(stream_stats(spark, places[1]))) == [(0, 2, 1), (1, 1, 1)]
+    # the same input once more, as after a failure before the end of a batch
+    finish([*places[:2], scratch(spark, "checkpoint")])
+    found = values(stream_stats(spark, places[1]))
+    assert (0, 3, 2) in found and sorted(values(cleaned_rows(spark, places[0]))).count(("b", True)) == 1
+    with pytest.raises(RinseError):
+        clean_stream_counted(csv_stream(spark, str(tmp_path), ["__row_id"]), build, *places)
