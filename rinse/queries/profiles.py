@@ -122,7 +122,7 @@ def people_masked_as_classified(t):
     return mask(people, found)
 
 
-_CANDIDATES = ["MM/dd/yyyy", "yyyy-MM-dd", "dd/MM/yyyy", "MMM d, yyyy", "yyyyMMdd"]
+_CANDIDATES = ["MM.dd.yyyy", "yyyy-MM-dd", "dd.MM.yyyy", "d MMM yyyy", "yyyyMMdd"]
 _MASKS_SQL = f"""
     SELECT CASE WHEN c = 0 THEN 2 WHEN c = 1 THEN 4 + (day(day) <= 12)::INT
                 WHEN c IN (2, 3) THEN 8 ELSE 0 END AS mask, count(*) AS "values"
@@ -138,8 +138,8 @@ def date_masks_of_orders(t):
     WITH seen AS ({_MASKS_SQL}),
     gains AS (
         SELECT 'yyyy-MM-dd' AS f, 1 AS nr, sum("values") FILTER (WHERE mask & 2 > 0) AS n FROM seen
-        UNION ALL SELECT 'dd/MM/yyyy', 2, sum("values") FILTER (WHERE mask & 4 > 0) FROM seen
-        UNION ALL SELECT 'MMM d, yyyy', 3, sum("values") FILTER (WHERE mask & 8 > 0) FROM seen)
+        UNION ALL SELECT 'dd.MM.yyyy', 2, sum("values") FILTER (WHERE mask & 4 > 0) FROM seen
+        UNION ALL SELECT 'd MMM yyyy', 3, sum("values") FILTER (WHERE mask & 8 > 0) FROM seen)
     SELECT (SELECT string_agg(f, '|' ORDER BY n DESC, nr) FROM gains WHERE n > 0) AS input_formats,
            sum("values")::BIGINT AS "values",
            (sum("values") FILTER (WHERE mask > 0))::BIGINT AS recognised,
