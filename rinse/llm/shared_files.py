@@ -60,3 +60,20 @@ def names(uri: str, ending: str) -> list[str]:
     system, path = _remote(uri)
     found = system.get_file_info(fs.FileSelector(path))
     return sorted(f"{uri.rstrip('/')}/{info.base_name}" for info in found if info.path.endswith(ending))
+
+
+def sized(uri: str, endings: tuple[str, ...]) -> list[tuple[str, int]]:
+    """The files of a folder whose names end so, in order, with their sizes; of a file itself."""
+    path = local_path(uri)
+    if path is not None:
+        if os.path.isfile(path):
+            return [(uri, os.path.getsize(path))]
+        found = [(name, os.path.getsize(f"{path}/{name}")) for name in os.listdir(path)]
+        return sorted((f"{uri.rstrip('/')}/{name}", size) for name, size in found if name.endswith(endings))
+    from pyarrow import fs
+
+    system, path = _remote(uri)
+    if system.get_file_info(path).type == fs.FileType.File:
+        return [(uri, system.get_file_info(path).size)]
+    found = system.get_file_info(fs.FileSelector(path))
+    return sorted((f"{uri.rstrip('/')}/{info.base_name}", info.size) for info in found if info.path.endswith(endings))

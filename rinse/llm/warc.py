@@ -8,6 +8,7 @@ for and the record passes the filters on record type, address and other headers.
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import json
 import re
@@ -32,7 +33,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from rinse.llm.shared_files import opened, written
+from rinse.llm.shared_files import opened, sized, written
 
 FIELDS = (
     "page_id long, record_type string, url string, payload_bytes long, payload_digest string, "
@@ -45,6 +46,7 @@ _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ID = re.compile(r"<urn:x-page:(-?\d+|none)>")
 _MANIFEST = "_archives.json"
+_OWN = re.compile(r"[0-9a-f]{32}\.warc\.gz")
 
 
 def payload_digest(payload: bytes) -> str:
@@ -60,6 +62,17 @@ def _number(name: str | None) -> int | None:
     return int(found[1]) if found and found[1] != "none" else None
 
 
+def _digest(headers: dict[str, str]) -> str | None:
+    """The SHA-1 of the payload as its headers say it; other sums count as none."""
+    given = headers.get("warc-payload-digest", "")
+    return given[5:].upper() if given[:5].lower() == "sha1:" else None
+
+
+def _url(headers: dict[str, str]) -> str | None:
+    """The address as it was given, else as the standard header has it."""
+    return json.loads(headers["x-url"]) if "x-url" in headers else headers.get("warc-target-uri")
+
+
 def record(row, date: str) -> bytes:
     """One record with its headers. A revisit has no payload, its headers tell of it."""
     payload = bytes(row.payload or b"")
@@ -76,6 +89,8 @@ def record(row, date: str) -> bytes:
     }
     if row.url is not None:
         headers["WARC-Target-URI"] = quote(row.url, safe="".join(map(chr, range(33, 127))))
+        if headers["WARC-Target-URI"] != row.url:
+            headers["X-Url"] = json.dumps(row.url)
     if not response:
         headers["WARC-Refers-To"] = _name(row.refers_to)
         headers["WARC-Profile"] = _PROFILE
@@ -84,52 +99,74 @@ def record(row, date: str) -> bytes:
 
 
 class Records:
-    """The records of an archive, one after another; payloads are decoded on demand only."""
-
-    def __init__(self, source) -> None:
-        self._source, self._waiting, self._ended = source, b"", False
+    """The records of an archive, one after another: headers, then the block on demand.
 
-    def _more(self) -> bytes:
-        if not self._waiting:
-            self._waiting = self._source.read(_BLOCK)
-        return self._waiting
+    Archives are plain or gzip, with a member for each record or any other members. Names of headers are in
+    lower case. What a caller does not read of a block is passed over and not kept.
+    """
 
-    def __iter__(self) -> Iterator[tuple[dict[str, str], Iterator[bytes]]]:
-        while self._more():
-            member = zlib.decompressobj(31)
-            held = bytearray()
-
-            def fill() -> bool:
-                """Decode a little more of this record; false at its end."""
-                if member.eof or not self._more():
-                    return False
-                held.extend(member.decompress(self._waiting, _BLOCK))
-                self._waiting = member.unused_data if member.eof else member.unconsumed_tail
+    def __init__(self, source) -> None:
+        self._source, self._held, self._raw = source, bytearray(), b""
+        start = source.read(2)
+        self._member = zlib.decompressobj(31) if start == b"\x1f\x8b" else None
+        self._raw = start
+
+    def _fill(self) -> bool:
+        """Hold a little more of the archive's text; false at its end."""
+        while True:
+            raw, self._raw = self._raw or self._source.read(_BLOCK), b""
+            if not raw:
+                return False
+            if self._member is None:
+                self._held += raw
+                return True
+            if self._member.eof:
+                self._member = zlib.decompressobj(31)
+            data = self._member.decompress(raw, _BLOCK)
+            self._raw = self._member.unused_data if self._member.eof else self._member.unconsumed_tail
+            self._held += data
+            if data:
                 return True
 
-            while (end := held.find(b"\r\n\r\n")) < 0 and fill():
-                pass
-            if end < 0:
+    def _headers(self) -> dict[str, str] | None:
+        """The headers of the next record; None at the end."""
+        while True:
+            gone = len(self._held) - len(self._held.lstrip(b"\r\n"))
+            del self._held[:gone]
+            if self._held or not self._fill():
+                break
+        if not self._held:
+            return None
+        at = 0
+        while (end := self._held.find(b"\r\n\r\n", at)) < 0:
+            at = max(0, len(self._held) - 3)
+            if not self._fill():
                 raise ValueError("An archive ends within the headers of a record")
-            lines = bytes(held[:end]).decode().split("\r\n")
-            del held[: end + 4]
-            headers = dict(line.split(": ", 1) for line in lines[1:])
+        text = bytes(self._held[:end]).decode("utf-8", "replace")
+        del self._held[: end + 4]
+        first, *lines = re.sub(r"\r\n[ \t]+", " ", text).split("\r\n")  # a line that goes on begins with a space
+        if not first.startswith("WARC/"):
+            raise ValueError(f"A record begins with {first[:20]!r}")
+        pairs = (line.partition(":") for line in lines)
+        return {name.strip().lower(): value.strip() for name, _, value in pairs}
+
+    def __iter__(self) -> Iterator[tuple[dict[str, str], Iterator[bytes]]]:
+        while (headers := self._headers()) is not None:
+            left = int(headers.get("content-length", "0"))
 
             def block() -> Iterator[bytes]:
-                left = int(headers["Content-Length"])
-                while left and (held or fill()):
-                    part = bytes(held[:left])
-                    del held[: len(part)]
+                nonlocal left
+                while left:
+                    if not self._held and not self._fill():
+                        raise ValueError("An archive ends within the block of a record")
+                    part = bytes(self._held[:left])
+                    del self._held[: len(part)]
                     left -= len(part)
-                    if part:
-                        yield part
-                if left:
-                    raise ValueError("An archive ends within the block of a record")
+                    yield part
 
             yield headers, block()
-            held.clear()
-            while fill():  # to the end of the member; nothing is kept
-                held.clear()
+            for _ in block():  # to the end of the record; nothing is kept
+                pass
 
 
 @dataclass
@@ -143,13 +180,19 @@ class Written(WriterCommitMessage):
 
 
 class WarcReader(DataSourceReader):
-    """Options: ``payload`` (true): decode payloads; ``verify`` (false): compare their digests."""
+    """Options: ``payload`` (true): decode payloads; ``verify`` (false): compare their digests.
+
+    A folder has a listing of its archives, or all files ending in .warc or .warc.gz are archives. Records may
+    be of any type and lack any header: ``page_id`` and ``refers_to`` are null where ids are not those of
+    this writer, lengths and digests are computed from the block where headers do not say them (null
+    for revisits). Payloads are as they were sent, also if compressed or in chunks.
+    """
 
     _HEADERS = {
-        "record_type": lambda headers: headers["WARC-Type"],
-        "url": lambda headers: headers.get("WARC-Target-URI"),
-        "payload_digest": lambda headers: headers["WARC-Payload-Digest"].removeprefix("sha1:"),
-        "page_id": lambda headers: _number(headers["WARC-Record-ID"]),
+        "record_type": lambda headers: headers.get("warc-type"),
+        "url": lambda headers: _url(headers),
+        "payload_digest": lambda headers: _digest(headers),
+        "page_id": lambda headers: _number(headers.get("warc-record-id")),
     }
 
     def __init__(self, options: dict[str, str]) -> None:
@@ -159,9 +202,11 @@ class WarcReader(DataSourceReader):
         self._wanted: list[tuple[str, str, object]] = []
 
     def pushFilters(self, filters):
-        """Take what can be told from the headers; Spark applies the rest."""
+        """Take what can be told from the headers; Spark applies the rest, and those on digests once more."""
         for one in filters:
             column = one.attribute[0] if len(one.attribute) == 1 else None
+            if column == "payload_digest":
+                yield one
             if column in self._HEADERS and isinstance(one, EqualTo):
                 self._wanted.append((column, "in", [one.value]))
             elif column in self._HEADERS and isinstance(one, In):
@@ -174,21 +219,26 @@ class WarcReader(DataSourceReader):
                 yield one
 
     def partitions(self) -> list[Files]:
-        with opened(f"{self._folder}/{_MANIFEST}") as source:
-            files = json.loads(source.read())
+        try:
+            with opened(f"{self._folder}/{_MANIFEST}") as source:
+                files = [(f"{self._folder}/{file['name']}", file["bytes"]) for file in json.loads(source.read())]
+        except (FileNotFoundError, NotADirectoryError):  # archives from elsewhere
+            files = sized(self._folder, (".warc", ".warc.gz"))
         planned: list[Files] = []
         size = 0
-        for file in files:
-            if not planned or size + file["bytes"] > BYTES_PER_PARTITION:
+        for name, length in files:
+            if not planned or size + length > BYTES_PER_PARTITION:
                 planned.append(Files([]))
                 size = 0
-            planned[-1].paths.append(f"{self._folder}/{file['name']}")
-            size += file["bytes"]
+            planned[-1].paths.append(name)
+            size += length
         return planned or [Files([])]
 
     def _passes(self, headers: dict[str, str]) -> bool:
         for column, how, wanted in self._wanted:
             value = self._HEADERS[column](headers)
+            if value is None and column == "payload_digest":
+                continue  # it may be computed from the block
             if value is None or how == "in" and value not in wanted:
                 return False
             if how == "starts" and not value.startswith(wanted):
@@ -203,23 +253,33 @@ class WarcReader(DataSourceReader):
                         yield self._row(headers, block)
 
     def _row(self, headers: dict[str, str], block: Iterator[bytes]) -> tuple:
-        digest, length = headers["WARC-Payload-Digest"].removeprefix("sha1:"), int(headers["X-Payload-Length"])
-        payload, response = None, headers["WARC-Type"] == "response"
-        if response and (self._payload or self._verify):
-            payload = b"".join(block).partition(b"\r\n\r\n")[2]
-            if self._verify and (payload_digest(payload), len(payload)) != (digest, length):
-                raise ValueError(f"The payload of {headers['WARC-Record-ID']} is not what its headers say")
+        """A record as a row; what its headers do not say is computed from its block."""
+        digest, length = _digest(headers), headers.get("x-payload-length")
+        length = int(length) if length else None
+        kind, payload = headers.get("warc-type"), None
+        said = digest is not None and length is not None
+        if kind != "revisit" and (self._payload or self._verify or not said):
+            payload = b"".join(block)
+            if headers.get("content-type", "").startswith("application/http"):
+                payload = payload.partition(b"\r\n\r\n")[2]
+            found = payload_digest(payload), len(payload)
+            if self._verify and (digest not in (None, found[0]) or length not in (None, found[1])):
+                raise ValueError(f"The payload of {headers.get('warc-record-id')} is not what its headers say")
+            digest, length = digest or found[0], found[1] if length is None else length
         return (
-            _number(headers["WARC-Record-ID"]), headers["WARC-Type"], headers.get("WARC-Target-URI"), length,
-            digest, _number(headers.get("WARC-Refers-To")), payload if self._payload else None,
+            _number(headers.get("warc-record-id")), kind, _url(headers), length, digest,
+            _number(headers.get("warc-refers-to")), payload if self._payload else None,
         )
 
 
 class WarcWriter(DataSourceWriter):
-    """Tasks write files of their own; the commit lists those that count."""
+    """Tasks write files of their own; the commit adds them to the listing of those that count.
 
-    def __init__(self, options: dict[str, str]) -> None:
-        self._folder = options["path"]
+    With mode overwrite the listing has the new files only, and the others are not read any more.
+    """
+
+    def __init__(self, options: dict[str, str], overwrite: bool) -> None:
+        self._folder, self._overwrite = options["path"], overwrite
         self._most = int(options.get("bytes_per_file", BYTES_PER_FILE))
         self._date = options.get("date") or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
@@ -240,9 +300,16 @@ class WarcWriter(DataSourceWriter):
         return Written(done)
 
     def commit(self, messages: list[Written | None]) -> None:
-        files = sorted(
-            (json.loads(name) for message in messages if message for name in message.names), key=lambda f: f["name"]
-        )
+        files = [json.loads(name) for message in messages if message for name in message.names]
+        if not self._overwrite:
+            try:
+                with opened(f"{self._folder}/{_MANIFEST}") as source:
+                    files += json.loads(source.read())
+            except FileNotFoundError:  # archives from elsewhere stay, those of failed attempts don't
+                with contextlib.suppress(FileNotFoundError):  # no folder, as no task had rows
+                    there = [(name.rpartition("/")[2], size) for name, size in sized(self._folder, (".warc", ".warc.gz"))]
+                    files += [{"name": name, "bytes": size} for name, size in there if not _OWN.fullmatch(name)]
+        files.sort(key=lambda file: file["name"])
         with written(f"{self._folder}/{_MANIFEST}") as out:
             out.write(json.dumps(files).encode())
 
@@ -262,7 +329,7 @@ class WarcSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(dict(self.options))
+        return WarcWriter(dict(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:

@@ -1,12 +1,14 @@
 """The other operators on odd rows, against brute force, and the pipeline's stages."""
 
 import base64
+import gzip
 import hashlib
 import itertools
 import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rinse.llm import minhash, quality
@@ -17,7 +19,7 @@ from rinse.llm.merkle import changed_paragraphs, edited_fingerprints
 from rinse.llm.minhash import deduplicate, near_duplicates
 from rinse.llm.preferences import answer_turns, paired, preference_pairs, preference_turns
 from rinse.llm.url_filter import judge, write_rules
-from rinse.llm.warc import read_records, write_pages
+from rinse.llm.warc import as_records, read_records, write_pages
 from rinse.session import scratch
 
 FOLDER = "/root/testdata/sf0.001"
@@ -89,6 +91,75 @@ def test_archives_round_trip(spark):
     assert read_records(spark, folder).where("payload_digest in ('x')").count() == 0
 
 
+def test_appended_and_replaced_archives(spark):
+    folder = scratch(spark, "archives")
+    pages = [spark.createDataFrame([(at, f"http://{at}/", f"<p>{at}")], "page_id long, url string, html string") for at in range(3)]
+    write_pages(pages[0], folder)
+    write_pages(pages[1], folder)
+    assert sorted(row.page_id for row in read_records(spark, folder, verify=True).collect()) == [0, 1]
+    as_records(pages[2]).write.format("warc").mode("overwrite").option("path", folder).save()
+    assert [row.page_id for row in read_records(spark, folder).collect()] == [2]
+
+
+def foreign(kind, block, *headers, version="1.0"):
+    lines = [f"WARC/{version}", f"WARC-Type: {kind}", *headers, f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+HTTP = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n"
+FOREIGN = [
+    (foreign("warcinfo", b"software: x\r\n\r\n", "WARC-Record-ID: <urn:uuid:1>"), ("warcinfo", None, b"software: x\r\n\r\n")),
+    (foreign("request", b"GET / HTTP/1.1\r\n\r\n", "content-type: application/http; msgtype=request", "WARC-TARGET-URI: http://a/"), ("request", "http://a/", b"")),
+    (foreign("response", HTTP + b"<p>a\r\n\r\nb", "content-type:application/http", "warc-target-uri:   http://a/", "X-Long: one", "  two", version="1.1"),
+     ("response", "http://a/", b"<p>a\r\n\r\nb")),
+    (foreign("response", HTTP, "Content-Type: application/http", "WARC-Target-URI: http://b/\u00e9", "WARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(b"").digest()).decode().lower()),
+     ("response", "http://b/\u00e9", b"")),
+    (foreign("resource", b"\x00\xff" * 700_000, "Content-Type: image/x", "WARC-Target-URI: http://c/"), ("resource", "http://c/", b"\x00\xff" * 700_000)),
+    (foreign("revisit", HTTP, "Content-Type: application/http", "WARC-Target-URI: http://d/"), ("revisit", "http://d/", None)),
+    (foreign("response", b"", "WARC-Target-URI: http://e/"), ("response", "http://e/", b"")),
+]
+
+
+@pytest.mark.parametrize("form", ["plain", "members", "one member", "file"])
+def test_archives_from_elsewhere(spark, tmp_path, form):
+    records = [record for record, _ in FOREIGN]
+    if form == "plain":
+        (tmp_path / "x.warc").write_bytes(b"".join(records))
+    else:
+        data = gzip.compress(b"".join(records)) if form == "one member" else b"".join(map(gzip.compress, records))
+        (tmp_path / "x.warc.gz").write_bytes(data)
+    (tmp_path / "notes.txt").write_text("no archive")
+    path = f"{tmp_path}/x.warc.gz" if form == "file" else str(tmp_path)
+    found = read_records(spark, path, verify=True).collect()
+    wanted = [row for _, row in FOREIGN]
+    assert [(row.record_type, row.url, row.payload) for row in found] == wanted
+    for row, (_, _, payload) in zip(found, wanted):
+        length = None if payload is None else len(payload)
+        digest = None if payload is None else base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        assert (row.page_id, row.refers_to, row.payload_bytes, row.payload_digest) == (None, None, length, digest)
+    light = read_records(spark, path, payload=False)
+    assert [row.payload_bytes for row in light.collect()] == [row.payload_bytes for row in found]
+    for condition, test in (
+        ("url = 'http://a/'", lambda row: row[1] == "http://a/"),
+        ("url like 'http://b/\u00e9%'", lambda row: row[1] == "http://b/\u00e9"),
+        ("record_type in ('response', 'resource')", lambda row: row[0] in ("response", "resource")),
+    ):
+        assert [row.url for row in light.where(condition).collect()] == [row[1] for row in wanted if test(row)]
+    digest = base64.b32encode(hashlib.sha1(b"<p>a\r\n\r\nb").digest()).decode()
+    assert [row.url for row in light.where(f"payload_digest = '{digest}'").collect()] == ["http://a/"]
+
+
+def test_addresses_come_back_as_given(spark):
+    folder = scratch(spark, "archives")
+    urls = ["http://a/\u00e9 x", "http://a/%C3%A9%20x", "http://a/\r\nX: y", "\u2028", "plain", ""]
+    pages = spark.createDataFrame([(at, url, "x") for at, url in enumerate(urls)], "page_id long, url string, html string")
+    write_pages(pages, folder)
+    records = read_records(spark, folder, payload=False)
+    assert {row.page_id: row.url for row in records.collect()} == dict(enumerate(urls))
+    for at, url in enumerate(urls):
+        assert [row.page_id for row in records.where(F.col("url") == url).collect()] == [at]
+
+
 def test_empty_archive(spark):
     folder = scratch(spark, "archives")
     write_pages(spark.createDataFrame([], "page_id long, url string, html string"), folder)
