@@ -1,10 +1,11 @@
-"""Fingerprints of documents: a Merkle tree over paragraphs and sections.
-
-A paragraph is a line. A section ends after a paragraph whose hash says so, on average every
-fourth, so an edit moves only the borders next to it. The root is the hash of the sections' hashes,
-theirs of the paragraphs' hashes. Equal roots mean equal texts; where roots differ, the sections
-and then the paragraphs that differ say where. Below the paragraphs lie short runs of their
-characters, whose hashes say how alike two texts are.
+"""Fingerprints of documents: a Merkle tree over leaves, paragraphs and sections.
+
+A paragraph is a line. Its leaves are runs of characters that end where the text says so: at a mark, or
+at a blank behind one of six letters, so an edit moves only the borders next to it. A section ends
+after a paragraph whose hash says so, on average every fourth. The root is the hash of the
+sections' hashes, theirs of the paragraphs' hashes, theirs of the leaves' hashes. Equal roots
+mean equal texts; where roots differ, the sections, then the paragraphs, then the leaves that differ
+say where, and the share of leaves that both trees have says how alike two texts are.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from rinse.session import stored
 
-LEAF = r"[^.,;:!?\n]{1,24}"
+LEAF = r"[^.,;:!?]{0,47}?(?:[.,;:!?]|[dehnst] )|[^.,;:!?]{1,48}"
 IDS_PER_PART = 20_000
 
 
@@ -22,8 +23,23 @@ def _text(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
 
-def paragraph_hashes(text: Column) -> Column:
-    return F.transform(F.split(_text(text), "\n", -1), lambda line: F.sha2(line, 256))
+def leaf_hashes(line: Column) -> Column:
+    """The hashes of the leaves of a line, which make up all of it."""
+    return F.transform(F.regexp_extract_all(line, F.lit(LEAF), F.lit(0)), lambda leaf: F.sha2(leaf, 256))
+
+
+def paragraph_hash(leaves_: Column) -> Column:
+    return F.sha2(F.array_join(leaves_, ","), 256)
+
+
+def leaves_of_paragraphs(text: Column) -> Column:
+    """For each paragraph the hashes of its leaves; null counts as an empty text."""
+    return F.transform(F.split(_text(text), "\n", -1), leaf_hashes)
+
+
+def paragraph_hashes(tree: Column) -> Column:
+    """The paragraphs' hashes, from their leaves' hashes."""
+    return F.transform(tree, paragraph_hash)
 
 
 def section_members(paragraphs: Column) -> Column:
@@ -36,15 +52,14 @@ def section_hashes(paragraphs: Column) -> Column:
     return F.transform(section_members(paragraphs), lambda members: F.sha2(members, 256))
 
 
-def root(text: Column) -> Column:
-    """The root of a text's tree; null counts as empty."""
-    return F.sha2(F.array_join(section_hashes(paragraph_hashes(text)), ","), 256)
+def root(tree: Column) -> Column:
+    """The root of a tree, from ``leaves_of_paragraphs``."""
+    return F.sha2(F.array_join(section_hashes(paragraph_hashes(tree)), ","), 256)
 
 
-def leaves(text: Column) -> Column:
-    """The distinct hashes, 32 bits each, of the short runs that paragraphs consist of."""
-    runs = F.regexp_extract_all(_text(text), F.lit(LEAF), F.lit(0))
-    return F.array_distinct(F.transform(runs, lambda run: F.substring(F.md5(run), 1, 8)))
+def leaves(tree: Column) -> Column:
+    """The distinct leaves of a tree, by 32 bits of their hashes."""
+    return F.array_distinct(F.transform(F.flatten(tree), lambda one: F.substring(one, 1, 8)))
 
 
 def as_text(root_: Column, leaves_: Column) -> Column:
@@ -53,15 +68,14 @@ def as_text(root_: Column, leaves_: Column) -> Column:
 
 
 def fingerprint(text: Column) -> Column:
-    return as_text(root(text), leaves(text))
+    tree = leaves_of_paragraphs(text)
+    return as_text(root(tree), leaves(tree))
 
 
 def likeness(root_: Column, leaves_: Column, other_root: Column, other_leaves: Column) -> Column:
-    """1 for equal roots, else the share of leaves that both have (Dice); 0 without leaves."""
+    """The share of nodes, the root and the distinct leaves, that both trees have (Dice): 1 for equal roots only."""
     both = 2.0 * F.size(F.array_intersect(leaves_, other_leaves))
-    every = F.size(leaves_) + F.size(other_leaves)
-    share = F.when(every > 0, both / F.when(every > 0, every)).otherwise(F.lit(0.0))
-    return F.when(root_ == other_root, F.lit(1.0)).otherwise(share)
+    return F.when(root_ == other_root, F.lit(1.0)).otherwise(both / (F.size(leaves_) + F.size(other_leaves) + 2))
 
 
 def next_ids(ids: DataFrame, per_part: int) -> DataFrame:
@@ -96,7 +110,8 @@ def edited_fingerprints(docs: DataFrame, per_part: int = IDS_PER_PART) -> DataFr
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     Rows that share a doc_id have the same next document; if several rows are next, it is the one
-    whose beginning is the smallest. A table with one doc_id is its own next document.
+    with the smallest text, whose beginnings are the smallest too. A table with one doc_id is its
+    own next document.
     """
     base = docs.select(
         F.col("doc_id").isNotNull().alias("known"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
@@ -112,25 +127,24 @@ def edited_fingerprints(docs: DataFrame, per_part: int = IDS_PER_PART) -> DataFr
         F.col("known").alias("to_known"), F.col("id").alias("to_id"), "half",
         F.col("next.known").alias("known"), F.col("next.id").alias("id"),
     )
-    heads = base.join(wanted, ["known", "id"]).select(
+    following = base.groupBy("known", "id").agg(F.min("text").alias("text")) if repeated else base
+    following = following.withColumn("tree", leaves_of_paragraphs(F.col("text")))
+    heads = following.join(wanted, ["known", "id"]).select(
         F.col("to_known").alias("known"), F.col("to_id").alias("id"), "half",
         F.substring("text", F.lit(1), F.col("half")).alias("head"),
-        root(F.col("text")).alias("next_root"), leaves(F.col("text")).alias("next_leaves"),
+        root(F.col("tree")).alias("next_root"), leaves(F.col("tree")).alias("next_leaves"),
     )
-    if repeated:
-        smallest = F.min(F.struct("head", "next_root", "next_leaves")).alias("smallest")
-        heads = heads.groupBy("known", "id", "half").agg(smallest).select("known", "id", "half", "smallest.*")
-        joined = base.withColumn("half", half).join(heads, ["known", "id", "half"])
-    else:
-        joined = base.join(heads, ["known", "id"])
+    joined = base.withColumn("half", half).join(heads, ["known", "id", "half"])
 
     kept = F.substring("text", F.lit(1), (F.length("text") - F.col("half")).cast("int"))
     table = joined.select(
         F.when(F.col("known"), F.col("id")).alias("doc_id"),
-        F.length("text").cast("long").alias("n_chars"),
-        root(F.col("text")).alias("root"), leaves(F.col("text")).alias("leaves"),
+        F.length("text").cast("long").alias("n_chars"), leaves_of_paragraphs(F.col("text")).alias("tree"),
         F.concat(kept, F.col("head")).alias("edited"), "next_root", "next_leaves",
-    ).withColumn("edited_root", root(F.col("edited"))).withColumn("edited_leaves", leaves(F.col("edited")))
+    ).withColumn("edited_tree", leaves_of_paragraphs(F.col("edited")))
+    for name in ("", "edited_"):
+        tree = F.col(f"{name}tree")
+        table = table.withColumn(f"{name}root", root(tree)).withColumn(f"{name}leaves", leaves(tree))
     return table.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         as_text(F.col("root"), F.col("leaves")).alias("fingerprint"),
@@ -151,10 +165,10 @@ def changed_paragraphs(before: DataFrame, after: DataFrame) -> DataFrame:
 
     def tree(table: DataFrame) -> DataFrame:
         table = table.where("doc_id is not null").select("doc_id", _text(F.col("text")).alias("text")).distinct()
-        return table.withColumn("root", root(F.col("text")))
+        return table.withColumn("tree", leaves_of_paragraphs(F.col("text"))).withColumn("root", root(F.col("tree")))
 
     def opened(table: DataFrame) -> DataFrame:
-        members = section_members(paragraph_hashes(F.col("text")))
+        members = section_members(paragraph_hashes(F.col("tree")))
         table = table.select("doc_id", "text", F.explode(members).alias("members"))
         return table.withColumn("section", F.sha2("members", 256))
 
@@ -168,5 +182,5 @@ def changed_paragraphs(before: DataFrame, after: DataFrame) -> DataFrame:
     changed = opened(new).drop("text").join(old_sections.select("doc_id", "section"), ["doc_id", "section"], "left_anti")
     changed = hashes(changed).join(hashes(old_sections), ["doc_id", "hash"], "left_anti")
     lines = new.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "text"))
-    lines = lines.withColumn("hash", F.sha2("text", 256))
+    lines = lines.withColumn("hash", paragraph_hash(leaf_hashes(F.col("text"))))
     return lines.join(changed, ["doc_id", "hash"], "left_semi").drop("hash")

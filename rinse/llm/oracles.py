@@ -139,14 +139,22 @@ FROM placed GROUP BY pair_id
 """
 
 
-def _root(text: str) -> str:
-    lines = f"list_transform(string_split({text}, chr(10)), lambda x: sha256(x))"
-    joined = f"regexp_replace(array_to_string({lines}, ','), '([0-9a-f]{{63}}[0-3]),', '\\1;', 'g')"
+_LEAF = "[^.,;:!?]{0,47}?(?:[.,;:!?]|[dehnst] )|[^.,;:!?]{1,48}"
+
+
+def _tree(text: str) -> str:
+    leaves = f"regexp_extract_all(line, '(?s){_LEAF}')"
+    return f"list_transform(string_split({text}, chr(10)), lambda line: list_transform({leaves}, lambda x: sha256(x)))"
+
+
+def _root(tree: str) -> str:
+    paragraphs = f"list_transform({tree}, lambda x: sha256(array_to_string(x, ',')))"
+    joined = f"regexp_replace(array_to_string({paragraphs}, ','), '([0-9a-f]{{63}}[0-3]),', '\\1;', 'g')"
     return f"sha256(array_to_string(list_transform(string_split({joined}, ';'), lambda x: sha256(x)), ','))"
 
 
-def _leaves(text: str) -> str:
-    return f"list_transform(regexp_extract_all({text}, '[^.,;:!?\\n]{{1,24}}'), lambda x: md5(x)[1:8])"
+def _leaves(tree: str) -> str:
+    return f"list_transform(flatten({tree}), lambda x: x[1:8])"
 
 
 def _in_order(leaves: str) -> str:
@@ -162,11 +170,15 @@ WITH ordered AS (
     WINDOW w AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
 ), edits AS (
     SELECT *, left(text, length(text) - length(text) // 2) || left(following, length(text) // 2) AS edited FROM ordered
-), hashed AS (
-    SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, {_root("text")} AS root,
-        {_root("edited")} AS edited_root, {_root("following")} AS next_root, {_leaves("text")} AS every,
-        {_leaves("edited")} AS edited_every, {_leaves("following")} AS next_every
+), grown AS (
+    SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, {_tree("text")} AS tree,
+        {_tree("edited")} AS edited_tree, {_tree("following")} AS next_tree
     FROM edits
+), hashed AS (
+    SELECT doc_id, n_chars, edited_sha256, {_root("tree")} AS root, {_root("edited_tree")} AS edited_root,
+        {_root("next_tree")} AS next_root, {_leaves("tree")} AS every, {_leaves("edited_tree")} AS edited_every,
+        {_leaves("next_tree")} AS next_every
+    FROM grown
 ), trees AS (
     SELECT *, {_in_order("every")} AS leaves, {_in_order("edited_every")} AS edited_leaves,
         list_distinct(next_every) AS next_leaves
@@ -174,13 +186,23 @@ WITH ordered AS (
 )
 SELECT doc_id, n_chars, edited_sha256, root || ':' || array_to_string(leaves, ',') AS fingerprint,
     edited_root || ':' || array_to_string(edited_leaves, ',') AS edited_fingerprint,
-    CASE WHEN root = edited_root THEN 1.0::double WHEN len(leaves) + len(edited_leaves) = 0 THEN 0.0::double
-        ELSE 2.0::double * len(list_intersect(leaves, edited_leaves)) / (len(leaves) + len(edited_leaves)) END AS near_edited,
-    CASE WHEN root = next_root THEN 1.0::double WHEN len(leaves) + len(next_leaves) = 0 THEN 0.0::double
-        ELSE 2.0::double * len(list_intersect(leaves, next_leaves)) / (len(leaves) + len(next_leaves)) END AS near_next
+    CASE WHEN root = edited_root THEN 1.0::double
+        ELSE 2.0::double * len(list_intersect(leaves, edited_leaves)) / (len(leaves) + len(edited_leaves) + 2) END AS near_edited,
+    CASE WHEN root = next_root THEN 1.0::double
+        ELSE 2.0::double * len(list_intersect(leaves, next_leaves)) / (len(leaves) + len(next_leaves) + 2) END AS near_next
 FROM trees
 """
 
+MERKLE_EDITS = """
+WITH lines AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS old, unnest(string_split(replace(text, 'en ', 'EN '), chr(10))) AS text,
+        unnest(range(length(text) - length(replace(text, chr(10), '')) + 1)) AS paragraph
+    FROM documents WHERE text IS NOT NULL
+)
+SELECT doc_id, paragraph::INTEGER AS paragraph, text FROM lines
+WHERE (doc_id, text) NOT IN (SELECT (doc_id, old) FROM lines)
+"""
+
 PREFIX_TRIE = r"""
 WITH turns AS (
   SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS j,

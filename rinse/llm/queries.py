@@ -11,7 +11,7 @@ from rinse.llm import oracles, quality
 from rinse.llm.alignment import align_documents
 from rinse.llm.decontaminate import contamination
 from rinse.llm.html_extraction import extract
-from rinse.llm.merkle import edited_fingerprints
+from rinse.llm.merkle import changed_paragraphs, edited_fingerprints
 from rinse.llm.minhash import near_duplicates
 from rinse.llm.packing import pack_documents
 from rinse.llm.preferences import answer_turns, paired, preference_turns
@@ -31,6 +31,7 @@ SQL: dict[str, str] = {
     "op9_preferences": oracles.PREFERENCES,
     "op9_preference_pairs": oracles.PREFERENCE_PAIRS,
     "op10_merkle": oracles.MERKLE,
+    "op10_located_edits": oracles.MERKLE_EDITS,
     "op11_main_text": oracles.MAIN_TEXT,
     "op12_prefix_trie": oracles.PREFIX_TRIE,
 }
@@ -132,6 +133,13 @@ def op10_merkle(spark, table):
     return edited_fingerprints(table("documents"))
 
 
+@query
+def op10_located_edits(spark, table):
+    """Where texts have changed, found by descending the trees: here each ``en`` at a word's end was edited."""
+    before = table("documents").select("doc_id", "text")
+    return changed_paragraphs(before, before.withColumn("text", F.replace("text", F.lit("en "), F.lit("EN "))))
+
+
 @query
 def op11_main_text(spark, table):
     return extract(table("pages"))

@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import itertools
 import re
+import time
 import zlib
 
 import pytest
@@ -15,7 +16,7 @@ from rinse.llm import minhash, quality
 from rinse.llm import queries as llm_queries
 from rinse.llm.components import connected_components
 from rinse.llm.decontaminate import contamination, decontaminate
-from rinse.llm.merkle import changed_paragraphs, edited_fingerprints
+from rinse.llm.merkle import changed_paragraphs, edited_fingerprints, leaves, leaves_of_paragraphs
 from rinse.llm.minhash import deduplicate, near_duplicates
 from rinse.llm.preferences import answer_turns, paired, preference_pairs, preference_turns
 from rinse.llm.url_filter import judge, write_rules
@@ -371,6 +372,30 @@ def test_edited_fingerprints(spark):
     assert edited_fingerprints(docs_frame(spark, [(1, "ab")])).first().edited_sha256 == hashlib.sha256(b"aa").hexdigest()
 
 
+def test_many_rows_of_two_ids(spark):
+    """Rows of one id meet one next text, so their number does not multiply."""
+    rows = spark.range(10_000).select((F.col("id") % 2).alias("doc_id"), F.concat(F.lit("text "), "id", F.repeat(F.lit(" x"), (F.col("id") % 400).cast("int"))).alias("text"))
+    started = time.perf_counter()
+    found = edited_fingerprints(rows)
+    assert found.count() == 10_000
+    assert time.perf_counter() - started < 60
+    least = rows.where("doc_id = 1").agg(F.min("text")).first()[0]
+    text = "text 8" + " x" * 8
+    half = len(text) // 2
+    edited = text[: len(text) - half] + least[:half]
+    assert found.where(F.col("edited_sha256") == hashlib.sha256(edited.encode()).hexdigest()).select("doc_id").distinct().count() == 1
+
+
+def test_an_edit_moves_few_leaves(spark):
+    """One character put into a long line without marks changes the leaves next to it only."""
+    words = " ".join("".join(one) for one in itertools.islice(itertools.product("kamo", "riteli", "sund", "aeo"), 1200))
+    texts = [(1, words), (2, words[:900] + "z" + words[900:]), (3, words.upper())]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = {row.doc_id: row for row in frame.select("doc_id", leaves(leaves_of_paragraphs(F.col("text"))).alias("leaves")).collect()}
+    same, other = (len(set(rows[1].leaves) & set(rows[at].leaves)) for at in (2, 3))
+    assert len(rows[1].leaves) > 30 and same >= len(rows[1].leaves) - 2 and other < 5
+
+
 def test_edits_are_located(spark):
     lines = [f"line {at}" for at in range(200)]
     before = [(1, "\n".join(lines)), (2, "same"), (3, None), (None, "x")]
