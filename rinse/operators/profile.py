@@ -137,11 +137,13 @@ def date_masks(df: DataFrame, column: str, formats: Sequence[str]) -> DataFrame:
 
 
 def infer_date_formats(df: DataFrame, column: str, formats: Sequence[str]) -> DataFrame:
-    """The shortest list of candidates found greedily that reads all recognisable values.
+    """The shortest list of candidates that reads all recognisable values.
 
     One row: ``input_formats`` in the order to try them, ``values``, ``recognised``,
-    ``ambiguous`` (several formats fit) and ``coverage``. Each step takes the format that
-    reads most values not yet read, the earlier candidate on a tie.
+    ``ambiguous`` (several formats fit) and ``coverage``. All subsets of the candidates are
+    looked at, 2**10 at most; of several shortest ones the one with the earlier candidates counts.
+    The list begins with the format that reads most values, then that which reads most of the
+    others, the earlier candidate on a tie.
     """
     masks_seen = date_masks(df, column, formats).agg(
         F.collect_list(F.struct("mask", "values")).alias("seen")
@@ -149,15 +151,21 @@ def infer_date_formats(df: DataFrame, column: str, formats: Sequence[str]) -> Da
     steps = f"sequence(0, {len(formats) - 1})"
     gain = """aggregate(seen, 0L, (total, one) -> total + if(
         (shiftright(one.mask, at) & 1) = 1 AND (one.mask & state.taken) = 0, one.values, 0L))"""
-    best = f"array_max(transform({steps}, at -> named_struct('gain', {gain}, 'rank', -at)))"
-    chosen = f"""aggregate({steps},
+    # a subset reads everything if it has a format of each mask
+    covers = f"""filter(sequence(0, {(1 << len(formats)) - 1}),
+        chosen -> forall(seen, one -> one.mask = 0 OR (one.mask & chosen) <> 0))"""
+    places = f"filter({steps}, at -> (shiftright(chosen, at) & 1) = 1)"
+    smallest = f"""array_min(transform({covers},
+        chosen -> named_struct('size', bit_count(chosen), 'places', {places}))).places"""
+    best = "array_max(transform(picks, at -> named_struct('gain', " + gain + ", 'rank', -at)))"
+    chosen = f"""aggregate(picks,
         named_struct('taken', 0, 'list', cast(array() AS array<int>)),
         (state, step) -> transform(array({best}), pick -> if(pick.gain = 0, state,
             named_struct('taken', state.taken | shiftleft(1, -pick.rank),
                          'list', array_append(state.list, -pick.rank))))[0]).list"""
     count = "aggregate(filter(seen, one -> {}), 0L, (total, one) -> total + one.values)"
     names = F.array(*map(F.lit, formats))
-    return masks_seen.select(
+    return masks_seen.withColumn("picks", F.expr(smallest)).select(
         F.transform(F.expr(chosen), lambda at: F.get(names, at)).alias("input_formats"),
         F.expr(count.format("true")).alias("values"),
         F.expr(count.format("one.mask > 0")).alias("recognised"),

@@ -151,6 +151,35 @@ def date_formats_of_orders(t):
     return found.withColumn("input_formats", F.array_join("input_formats", "|"))
 
 
+# Eight digits that fit two of three formats (four orders in ten each way), or one of two (one in ten each).
+_DIGITS_SQL = """
+    SELECT o_orderkey % 10 AS g, CASE WHEN o_orderkey % 10 < 4 THEN 3 WHEN o_orderkey % 10 < 8 THEN 5
+        WHEN o_orderkey % 10 = 8 THEN 2 ELSE 4 END AS mask FROM orders"""
+
+
+@query(f"""
+    WITH seen AS (SELECT mask, count(*) AS n FROM ({_DIGITS_SQL}) GROUP BY 1),
+    sets AS (SELECT s FROM range(1, 8) AS t(s) WHERE (SELECT bool_and(mask & s <> 0) FROM seen)),
+    chosen AS (SELECT s FROM sets ORDER BY bit_count(s), s LIMIT 1),
+    formats AS (SELECT * FROM (VALUES ('ddMMyyyy', 1), ('yyyyMMdd', 2), ('MMddyyyy', 4)) AS f(name, bit)),
+    listed AS (SELECT name, bit, (SELECT sum(n) FROM seen WHERE mask & bit <> 0) AS n FROM formats, chosen WHERE s & bit <> 0)
+    SELECT (SELECT string_agg(name, '|' ORDER BY n DESC, bit) FROM listed) AS input_formats, sum(n)::BIGINT AS "values",
+           (sum(n) FILTER (WHERE bit_count(mask) > 1))::BIGINT AS ambiguous FROM seen""")
+def fewest_date_formats_of_orders(t):
+    # The format that reads most is not needed: two others read everything.
+    key, group = F.col("o_orderkey"), F.col("o_orderkey") % 10
+    month, other = (F.lpad((1 + F.floor(key / by) % 12).cast("string"), 2, "0") for by in (1, 7))
+    late = (13 + key % 16).cast("string")
+    text = (
+        F.when(group < 4, F.concat(F.lit("2010"), month, F.lit("12")))
+        .when(group < 8, F.concat(month, other, F.lit("2013")))
+        .when(group == 8, F.concat(F.lit("1999"), month, F.lit("10")))
+        .otherwise(F.concat(F.lit("12"), late, F.lit("2013")))
+    )
+    found = infer_date_formats(t.orders.select(text.alias("d")), "d", ["ddMMyyyy", "yyyyMMdd", "MMddyyyy"])
+    return found.select(F.array_join("input_formats", "|").alias("input_formats"), "values", "ambiguous")
+
+
 @query(f"""
     SELECT o_orderkey, CASE WHEN c < 4 THEN strftime(day, '%Y-%m-%d') ELSE placed END AS placed,
            c < 4 AS __matched

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +107,21 @@ def test_examples_are_cut_in_the_tasks(spark):
     found = pattern_examples(documents, ["text"], {"email": NAMED_PATTERNS["email"]}, "doc_id")
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_the_shortest_list_of_formats(spark):
+    """Every table of values against an enumeration of all lists."""
+    candidates = ["ddMMyyyy", "yyyyMMdd", "MMddyyyy", "yyyy-MM-dd"]
+    values_by_mask = {0b0011: "20101112", 0b0101: "01022013", 0b0010: "19991010", 0b0100: "12282013", 0b1000: "2020-02-03", 0: "none"}
+    assert {row["mask"] for row in date_masks(spark.createDataFrame([(v,) for v in values_by_mask.values()], "d string"), "d", candidates).collect()} == set(values_by_mask)
+    rng = random.Random(2)
+    for _ in range(8):
+        counts = {mask: rng.randint(1, 5) for mask in rng.sample(sorted(values_by_mask), rng.randint(1, 6))}
+        rows = [(values_by_mask[mask],) for mask, many in counts.items() for _ in range(many)]
+        [found] = infer_date_formats(spark.createDataFrame(rows, "d string"), "d", candidates).collect()
+        covers = [s for s in range(16) if all(mask & s for mask in counts if mask)]
+        fewest = min(bin(s).count("1") for s in covers)
+        taken = sum(1 << candidates.index(name) for name in found["input_formats"])
+        assert taken in covers and len(found["input_formats"]) == fewest
+        assert found["recognised"] == sum(many for mask, many in counts.items() if mask)
+
