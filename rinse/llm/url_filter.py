@@ -63,8 +63,8 @@ def write_rules(rules: DataFrame, folder: str) -> DataFrame:
             digests = np.array([digest(key) for key in keys], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(digests), pa.array(keys, pa.string()), pa.array(map(len, paths), pa.int32()),
-                 pa.array(verdicts, pa.int32())],
-                names=["digest", "key", "length", "blocks"],
+                 pa.array(map(len, hosts), pa.int32()), pa.array(verdicts, pa.int32())],
+                names=["digest", "key", "length", "host", "blocks"],
             )
 
     @giving_back
@@ -80,22 +80,23 @@ def write_rules(rules: DataFrame, folder: str) -> DataFrame:
             out.write(ends.tobytes())
             out.write(table["blocks"].to_numpy().astype(np.uint8).tobytes())
             out.write(b"".join(keys))
-        lengths = sorted(set(table["length"].to_pylist()))
+        lengths, hosts = (sorted(set(table[column].to_pylist())) for column in ("length", "host"))
         yield pa.RecordBatch.from_pylist(
-            [{"name": name, "rules": table.num_rows, "lengths": lengths}], schema=_FILES
+            [{"name": name, "rules": table.num_rows, "lengths": lengths, "hosts": hosts}], schema=_FILES
         )
 
-    listed = whole.mapInArrow(hashed, "digest long, key string, length int, blocks int")
+    listed = whole.mapInArrow(hashed, "digest long, key string, length int, host int, blocks int")
     files = -(-rules.count() // RULES_PER_FILE) or 1
     listed = listed.repartitionByRange(files, "digest").sortWithinPartitions("digest", "key")
-    listed.mapInArrow(write, "name string, rules long, lengths array<int>").write.parquet(f"{folder}/manifest")
+    listed.mapInArrow(write, "name string, rules long, lengths array<int>, hosts array<int>").write.parquet(f"{folder}/manifest")
     return rules.sparkSession.read.parquet(f"{folder}/manifest")
 
 
 _RULES = pa.schema(
-    [("digest", pa.int64()), ("key", pa.string()), ("length", pa.int32()), ("blocks", pa.int32())]
+    [("digest", pa.int64()), ("key", pa.string()), ("length", pa.int32()), ("host", pa.int32())]
+    + [("blocks", pa.int32())]
 )
-_FILES = pa.schema([("name", pa.string()), ("rules", pa.int64()), ("lengths", pa.list_(pa.int32()))])
+_FILES = pa.schema([("name", pa.string()), ("rules", pa.int64())] + [(name, pa.list_(pa.int32())) for name in ("lengths", "hosts")])
 
 
 class DigestArray:
@@ -122,13 +123,11 @@ class DigestArray:
                 place += 1
 
 
-def suffixes(host: str) -> Iterator[str]:
-    """The host itself and the domains above it."""
-    yield host
-    at = host.find(".")
-    while at >= 0:
-        yield host[at + 1 :]
-        at = host.find(".", at + 1)
+def suffixes(host: str, lengths: list[int]) -> Iterator[str]:
+    """The host itself and the domains above it, as far as some rule's host has their length."""
+    for length in lengths:
+        if length == len(host) or length < len(host) and host[len(host) - length - 1] == ".":
+            yield host[len(host) - length :]
 
 
 def judge(urls: DataFrame, folder: str, url: str = "url", default: str = ALLOW) -> DataFrame:
@@ -142,7 +141,7 @@ def judge(urls: DataFrame, folder: str, url: str = "url", default: str = ALLOW)
     spark = urls.sparkSession
     # one row for each file of millions of rules
     files = spark.read.parquet(f"{folder}/manifest").collect()
-    lengths = sorted({length for file in files for length in file["lengths"]})
+    lengths, above = (sorted({length for file in files for length in file[kind]}) for kind in ("lengths", "hosts"))
     shared = local_path(folder)
     if shared is None:
         for file in files:
@@ -163,7 +162,7 @@ def judge(urls: DataFrame, folder: str, url: str = "url", default: str = ALLOW)
                 if not host:
                     continue
                 beginnings = [way[:length] for length in lengths if length <= len(way)]
-                for suffix in suffixes(host):
+                for suffix in suffixes(host, above):
                     for beginning in beginnings:
                         keys.setdefault(suffix + beginning, []).append(row)
             probed = list(keys)

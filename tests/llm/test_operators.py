@@ -57,6 +57,17 @@ def test_longest_rule_wins(spark):
     assert judge(pages.limit(0), folder).count() == 0
 
 
+def test_hosts_of_many_labels(spark):
+    folder = scratch(spark, "rules")
+    write_rules(spark.createDataFrame(RULES, "host string, path string, verdict string"), folder)
+    labels = "a." * 50_000
+    urls = [(1, f"http://{labels}net/"), (2, f"http://{labels}a.net/en/"), (3, f"http://net.{labels}"), (4, "http://.net/")]
+    started = time.perf_counter()
+    found = judge(spark.createDataFrame(urls, "page_id long, url string"), folder)
+    assert {row.page_id: row.rule for row in found.collect()} == {1: "net/", 2: "a.net/en/", 3: None, 4: "net/"}
+    assert time.perf_counter() - started < 20
+
+
 def test_no_rules(spark):
     folder = scratch(spark, "rules")
     write_rules(spark.createDataFrame([], "host string, path string, verdict string"), folder)
