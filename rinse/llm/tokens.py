@@ -34,7 +34,8 @@ _RULES = {
 }
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _MARK = r"([A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~])"  # all marks of ASCII but the apostrophe
-_TOGETHER = 512  # words of one call
+_TOGETHER = 128  # words in one text
+_AT_ONCE = 64  # texts in one call
 
 
 def word_tokenizer() -> str:
@@ -79,7 +80,10 @@ class Encoder:
 
     def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of each of the words, one after another, and how many each has."""
-        found = [one.ids for one in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        found: list[list[int]] = []
+        for at in range(0, len(words), _AT_ONCE):  # a token takes over a hundred bytes before it is an id
+            part = self._tokenizer.encode_batch_fast(words[at : at + _AT_ONCE], add_special_tokens=False)
+            found.extend(one.ids for one in part)
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
 
@@ -150,7 +154,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def pieces_of(batch: pa.RecordBatch, most: int = 1 << 24):
+def pieces_of(batch: pa.RecordBatch, most: int = 1 << 21):
     """The batch in slices of about ``most`` bytes of text, so that long texts bound memory."""
     sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
     cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1
