@@ -28,8 +28,8 @@ SQL: dict[str, str] = {
     "op5_warc": oracles.WARC,
     "op6_decontamination": oracles.DECONTAMINATION,
     "op7_near_duplicates": oracles.NEAR_DUPLICATES,
-    "op9_preferences": oracles.PREFERENCES,
-    "op9_preference_pairs": oracles.PREFERENCE_PAIRS,
+    "op9_preferences": oracles.PREFERENCE_PAIRS,
+    "op9_preference_turns": oracles.PREFERENCES,
     "op10_merkle": oracles.MERKLE,
     "op10_located_edits": oracles.MERKLE_EDITS,
     "op11_main_text": oracles.MAIN_TEXT,
@@ -111,16 +111,6 @@ def op8_quality(spark, table):
 
 @query
 def op9_preferences(spark, table):
-    """Each conversation with an even id is chosen over the next one."""
-    turns = table("conversations")
-    pair = F.floor(F.col("conv_id") / 2)
-    pairs = turns.select((2 * pair).alias("pair_id")).distinct()
-    pairs = pairs.select("pair_id", F.col("pair_id").alias("chosen"), (F.col("pair_id") + 1).alias("rejected"))
-    return preference_turns(turns, pairs)
-
-
-@query
-def op9_preference_pairs(spark, table):
     """Each conversation is chosen over itself with the last answer of another; the prompt is what they share."""
     pairs = paired(answer_turns(table("conversations")))
     for name in ("chosen_spans", "rejected_spans"):
@@ -128,6 +118,16 @@ def op9_preference_pairs(spark, table):
     return pairs
 
 
+@query
+def op9_preference_turns(spark, table):
+    """Each conversation with an even id is chosen over the next one; a row for each turn."""
+    turns = table("conversations")
+    pair = F.floor(F.col("conv_id") / 2)
+    pairs = turns.select((2 * pair).alias("pair_id")).distinct()
+    pairs = pairs.select("pair_id", F.col("pair_id").alias("chosen"), (F.col("pair_id") + 1).alias("rejected"))
+    return preference_turns(turns, pairs)
+
+
 @query
 def op10_merkle(spark, table):
     return edited_fingerprints(table("documents"))
