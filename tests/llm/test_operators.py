@@ -354,7 +354,7 @@ def test_every_conversation_has_a_pair_that_shares_its_beginning(spark):
 
 
 def test_pairs_of_the_query_share_a_prompt(spark):
-    rows = llm_queries.QUERIES["op9_preference_pairs"](spark, FOLDER).collect()
+    rows = llm_queries.QUERIES["op9_preferences"](spark, FOLDER).collect()
     ids = {row.conv_id for row in spark.read.parquet(f"{FOLDER}/conversations.parquet").collect()}
     assert {row.pair_id for row in rows} == ids and len(rows) == len(ids)
     assert sum(bool(row.prompt and row.chosen and row.rejected) for row in rows) > len(rows) / 2
