@@ -13,6 +13,7 @@ import pyarrow.parquet as pq
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rinse.operators.cells import ROW_ID
 from rinse.sources.beginnings import FILES_PER_TASK, in_reach, opened
@@ -20,7 +21,7 @@ from rinse.sources.tables import files_below
 
 # The name starts with an underscore, so Spark leaves the folder out when it reads the result.
 FOLDER = "_offsets"
-SCHEMA = "path string, rows long, low long, high long, before long, fit boolean"
+SCHEMA = "path string, rows long, low long, high long, before long, fit boolean, columns string"
 # Ids of 1024 tasks form a block; ranges are added up within blocks, then the blocks.
 BLOCK_BITS = 43
 
@@ -68,15 +69,17 @@ def with_rows_before(ranges: DataFrame) -> DataFrame:
     )
 
 
-def write_offsets(spark: SparkSession, path: str) -> None:
+def write_offsets(spark: SparkSession, path: str, schema: StructType | None = None) -> None:
     """Keep the ranges of the result at ``path`` in a table inside its folder, with whether they ``fit``.
 
+    The result's schema stands beside them, so that a page can be read without a look for it.
     A range does not fit where a file has no statistics, or where it overlaps another one, as after
     a shuffle of the rows. Where tasks cannot open the files, nothing is kept.
     """
     if in_reach(path):
         fit = F.col("low").isNotNull() & (F.col("last").isNull() | (F.col("last") < F.col("low")))
-        found = with_rows_before(row_groups(spark, path)).withColumn("fit", fit).drop("last")
+        columns = F.lit((schema or spark.read.parquet(path).schema).json())
+        found = with_rows_before(row_groups(spark, path)).withColumns({"fit": fit, "columns": columns}).drop("last")
         found.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{FOLDER}")
 
 

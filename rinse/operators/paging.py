@@ -8,11 +8,13 @@ gives the number of the first row of every bucket.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rinse.operators.cells import MATCHED, ROW_ID, named, with_row_id
 from rinse.operators.footers import read_offsets, row_groups, with_rows_before
@@ -269,11 +271,16 @@ def read_page_of(spark: SparkSession, path: str, page: int, page_size: int) -> P
         F.coalesce(F.bool_and("fit"), F.lit(True)).alias("fit"),
         F.coalesce(F.bool_and(F.when(inside, _gapless())), F.lit(True)).alias("dense"),
         F.sort_array(F.collect_list(F.when(inside, touched))).alias("ranges"),
+        F.first("columns").alias("columns"),
     ).first()
     if not (found["fit"] and found["dense"]):
         return read_page(spark.read.parquet(path), page, page_size)
     ranges = found["ranges"]
-    rows = spark.read.parquet(*sorted({glob_escaped(one["path"]) for one in ranges})) if ranges else spark.read.parquet(path).limit(0)
+    if ranges:
+        files = sorted({glob_escaped(one["path"]) for one in ranges})
+        rows = spark.read.schema(StructType.fromJson(json.loads(found["columns"]))).parquet(*files)
+    else:
+        rows = spark.read.parquet(path).limit(0)
     columns = [name for name in rows.columns if name not in (ROW_ID, MATCHED)]
     flag = [named(MATCHED)] if MATCHED in rows.columns else []
     number = F.lit(None).cast("long")

@@ -39,7 +39,7 @@ def write_counted(result: DataFrame, path: str) -> Stats:
     write_parquet(result.observe(seen, *counts()), path)
     stats = Stats(**seen.get)
     if ROW_ID in result.columns:
-        write_offsets(result.sparkSession, path)
+        write_offsets(result.sparkSession, path, result.schema)
     return stats
 
 
