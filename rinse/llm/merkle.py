@@ -128,8 +128,8 @@ def edited_fingerprints(docs: DataFrame, per_part: int = IDS_PER_PART) -> DataFr
         F.col("next.known").alias("known"), F.col("next.id").alias("id"),
     )
     following = base.groupBy("known", "id").agg(F.min("text").alias("text")) if repeated else base
-    following = following.withColumn("tree", leaves_of_paragraphs(F.col("text")))
-    heads = following.join(wanted, ["known", "id"]).select(
+    # trees are grown behind the join: their hashes are larger than the text
+    heads = following.join(wanted, ["known", "id"]).withColumn("tree", leaves_of_paragraphs(F.col("text"))).select(
         F.col("to_known").alias("known"), F.col("to_id").alias("id"), "half",
         F.substring("text", F.lit(1), F.col("half")).alias("head"),
         root(F.col("tree")).alias("next_root"), leaves(F.col("tree")).alias("next_leaves"),
