@@ -139,7 +139,7 @@ FROM placed GROUP BY pair_id
 """
 
 
-_LEAF = "[^.,;:!?]{0,47}?(?:[.,;:!?]|[dehnst] )|[^.,;:!?]{1,48}"
+_LEAF = "[^.,;:!?]{0,10}[.,;:!?]|[^.,;:!?]{11,47}?(?:[.,;:!?]|[dehnst] )|[^.,;:!?]{1,48}"
 
 
 def _tree(text: str) -> str:
