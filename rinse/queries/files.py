@@ -131,16 +131,26 @@ def file_types_of_paths(t):
 
 
 _CHUNK = 1000
+_FILES_PER_TASK = 100
+
+
+def _by_chunk(t, size: int):
+    """Customers with the chunk of ``size`` keys they belong to, a task for a hundred chunks or fewer.
+
+    Each chunk becomes a file, which takes its time however short it is, and without a number of
+    tasks AQE makes one task of many short chunks.
+    """
+    chunk = F.floor(F.col("c_custkey") / size).cast("long")
+    tasks = max(t.spark.sparkContext.defaultParallelism, -(-t.customer.count() // (size * _FILES_PER_TASK)))
+    rows = t.customer.withColumn("chunk", chunk).repartition(tasks, "chunk")
+    return rows.sortWithinPartitions("chunk", "c_custkey")
 
 
 def _chunk_files(t) -> str:
     """Customers in files of at most a thousand, in the order of their keys."""
     path = scratch(t.spark, "chunks")
-    chunk = F.floor(F.col("c_custkey") / _CHUNK).cast("long")
-    rows = t.customer.select(chunk.alias("chunk"), F.col("c_custkey"), "c_name")
-    rows.repartition("chunk").sortWithinPartitions("chunk", "c_custkey").write.partitionBy(
-        "chunk"
-    ).options(header=True).csv(path)
+    rows = _by_chunk(t, _CHUNK).select("chunk", "c_custkey", "c_name")
+    rows.write.partitionBy("chunk").options(header=True).csv(path)
     return path
 
 
@@ -170,8 +180,7 @@ _SMALL = 60
 def previews_of_differing_files(t):
     # Every other file has a column more, and another order of columns.
     root = scratch(t.spark, "differing")
-    chunk = F.floor(F.col("c_custkey") / _SMALL).cast("long")
-    rows = t.customer.withColumn("chunk", chunk).repartition("chunk").sortWithinPartitions("chunk", "c_custkey")
+    rows = _by_chunk(t, _SMALL)
     for odd, columns in ((0, ["c_custkey", "c_name"]), (1, ["c_mktsegment", "c_name", "c_custkey"])):
         part = rows.where(F.col("chunk") % 2 == odd).select("chunk", *columns)
         part.write.partitionBy("chunk").options(header=True).csv(f"{root}/{odd}")

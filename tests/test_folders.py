@@ -116,3 +116,15 @@ def test_random_tables_come_back(spark, tmp_path):
 
 def test_beginnings_of_no_files(spark, tmp_path):
     assert beginnings(files_below(spark, str(tmp_path), "*.csv"), 3).count() == 0
+
+
+def test_short_files_are_written_by_several_tasks(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from rinse.queries.files import _by_chunk
+
+    customer = spark.range(1200).selectExpr("id c_custkey", "concat('Customer', id) c_name")
+    rows = _by_chunk(SimpleNamespace(spark=spark, customer=customer), 60)
+    rows.write.partitionBy("chunk").csv(f"{tmp_path}/chunks")
+    parts = {path.name[:10] for path in tmp_path.glob("chunks/chunk=*/part-*")}
+    assert len(list(tmp_path.glob("chunks/chunk=*/part-*"))) == 20 and len(parts) > 1
