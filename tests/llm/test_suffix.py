@@ -123,3 +123,35 @@ def test_the_table(spark):
     table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     docs = [(row.doc_id, row.text) for row in table.collect()]
     check(spark, docs, 400, 128)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("ab", max_size=60), min_size=1, max_size=6), st.integers(1, 25))
+def test_suffixes_sorted_by_a_depth(texts, depth):
+    data = [text.encode() for text in texts]
+    found = Suffixes(np.frombuffer(b"".join(data), np.uint8), np.array([len(one) for one in data]), depth)
+    symbols = []
+    for at, text in enumerate(data):
+        symbols += [(1, byte) for byte in text] + [(0, at)]
+
+    def beginning(at):
+        end = next(place for place in range(at, len(symbols)) if symbols[place][0] == 0)
+        return symbols[at : min(at + depth, end + 1)]
+
+    kept = [beginning(at) for at in found.order]
+    assert kept == sorted(kept)
+    assert found.first.tolist() == [True, *(one != other for one, other in zip(kept, kept[1:], strict=False))]
+
+
+def test_contexts_hold_each_string_once():
+    text = np.random.default_rng(1).integers(97, 123, 20_000).astype(np.uint8)
+    ends = np.array([3000, 3010, 12_000, 20_000])
+    _, _, first, last = suffix_dedup.anchors(text, ends, 400, 128)
+    held = np.concatenate([np.arange(one, other + 1) for one, other in zip(first, last, strict=True)])
+    strings = [at for start, end in zip([0, *ends], ends, strict=False) for at in range(start, end - 399)]
+    assert held.tolist() == strings
+
+
+def test_anchors_of_many_rows_do_not_meet_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 3)
+    check(spark, made(6, passages=2, docs=60), 40, 16)
