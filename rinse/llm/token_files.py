@@ -38,6 +38,38 @@ def _widths(differences: np.ndarray, percentile: int) -> np.ndarray:
     return np.frexp(chosen.astype(np.float64))[1].astype(np.uint8)
 
 
+def _spans(width: int) -> Iterator[tuple[int, int, range]]:
+    """Of eight numbers of ``width`` bits: which one, its first bit in its first byte, and its bytes."""
+    for at in range(8):
+        first, last = at * width, (at + 1) * width - 1
+        yield at, first & 7, range(first >> 3, (last >> 3) + 1)
+
+
+def _bits_of(rows: np.ndarray, width: int) -> np.ndarray:
+    """The low ``width`` bits of the numbers, the lowest first, one row of bytes for each row."""
+    n = rows.shape[1]
+    rows = np.pad(rows, ((0, 0), (0, -n % 8)))
+    numbers = rows.reshape(-1, 8).astype(np.uint64) & np.uint64((1 << width) - 1)
+    packed = np.zeros((len(numbers), width), np.uint8)
+    for at, shift, places in _spans(width):
+        moved = numbers[:, at] << np.uint64(shift)
+        for step, place in enumerate(places):
+            packed[:, place] |= (moved >> np.uint64(8 * step)).astype(np.uint8)
+    return packed.reshape(len(rows), -1)[:, : -(-n * width // 8)]
+
+
+def _numbers_of(packed: np.ndarray, width: int) -> np.ndarray:
+    """The numbers whose ``width`` bits each lie one after another in the bytes."""
+    packed = packed.reshape(-1, width)
+    numbers = np.empty((len(packed), 8), np.uint32)
+    for at, shift, places in _spans(width):
+        one = np.zeros(len(packed), np.uint64 if len(places) > 4 else np.uint32)
+        for step, place in enumerate(places):
+            one |= packed[:, place].astype(one.dtype) << one.dtype.type(8 * step)
+        numbers[:, at] = one >> one.dtype.type(shift) & one.dtype.type((1 << width) - 1)
+    return numbers.reshape(-1)
+
+
 def pack(ids: np.ndarray, block: int = BLOCK, percentile: int = PERCENTILE) -> list[bytes]:
     """Blocks of the ids; the last one is filled up with its own last id."""
     packed: list[bytes] = []
@@ -50,8 +82,7 @@ def pack(ids: np.ndarray, block: int = BLOCK, percentile: int = PERCENTILE) -> l
         bodies: list[bytes] = [b""] * len(rows)
         for width in np.unique(widths):
             which = np.flatnonzero(widths == width)
-            bits = differences[which][:, :, None] >> np.arange(width, dtype=np.uint32) & 1
-            body = np.packbits(bits.astype(np.uint8).reshape(len(which), -1), axis=1, bitorder="little")
+            body = _bits_of(differences[which], int(width))
             for at, one in zip(which, body, strict=True):
                 bodies[at] = one.tobytes()
         over = differences.astype(np.uint64) >> widths.astype(np.uint64)[:, None] > 0
@@ -79,10 +110,7 @@ def unpack(blocks: list[bytes], block: int = BLOCK) -> np.ndarray:
     for width, which in by_width.items():
         if width:
             raw = np.frombuffer(b"".join(bodies[at] for at in which), np.uint8)
-            bits = np.unpackbits(raw, bitorder="little").reshape(len(which), block, width)
-            whole = np.zeros((len(which), block, 32), np.uint8)
-            whole[:, :, :width] = bits
-            rows[which] = np.packbits(whole, axis=2, bitorder="little").view("<u4")[:, :, 0]
+            rows[which] = _numbers_of(raw, width).reshape(len(which), -1)[:, :block]
     for at, (places, values, least) in enumerate(exceptions):
         rows[at, places] = values
         rows[at] += np.uint32(least)

@@ -170,3 +170,15 @@ def test_packing_goes_on_until_one_partition_holds_the_rest(spark):
     assert sorted(row.row for row in placed) == list(range(300))
     assert len({(row.sequence_id, row.offset) for row in placed}) == 300
     assert len({row.sequence_id for row in placed}) == 3
+
+
+def test_blocks_are_unpacked_in_little_memory():
+    import tracemalloc
+
+    ids = np.random.default_rng(3).integers(0, 49_000, 1 << 18).astype(np.uint32)
+    blocks = pack(ids)
+    tracemalloc.start()
+    found = unpack(blocks)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (found == ids).all() and most < 40 * len(ids)  # 32 bytes for the bits alone before
