@@ -155,3 +155,33 @@ def test_contexts_hold_each_string_once():
 def test_anchors_of_many_rows_do_not_meet_in_one_task(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 3)
     check(spark, made(6, passages=2, docs=60), 40, 16)
+
+
+# a repeated string from the second byte of a character to the first of another
+HALVES = [(1, "\u00e9" + "0123456789" * 4 + "\u00fc."), (2, "\u00a9" + "0123456789" * 4 + "\u00e4!"), (3, "stays"), (4, None)]
+
+
+def test_halves_of_two_characters_make_no_third(spark):
+    found = without_repeats(frame(spark, HALVES), 40, 16)
+    assert {row.doc_id: row.text for row in found.collect()} == {1: ".", 2: "!", 3: "stays", 4: None}
+
+
+def test_the_text_that_stays(spark):
+    found = remove_repeats(frame(spark, HALVES), 40, 16, with_bytes=True, with_text=True)
+    assert found.columns[-3:] == ["kept_sha256", "kept", "text"]
+    rows = {row.doc_id: (bytes(row.kept), row.text) for row in found.collect()}
+    assert rows == {1: (b"\xc3\xbc.", "."), 2: (b"\xc2\xa4!", "!"), 3: (b"stays", "stays"), 4: (b"", "")}
+
+
+def test_the_query_returns_the_text_that_stays(spark):
+    from rinse.llm.queries import QUERIES
+
+    found = QUERIES["op4_suffix_dedup"](spark, "/root/testdata/sf0.001").drop("has_repeats")
+    assert found.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+    rows, table = found.collect(), spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    assert sorted((tuple(row)[:5] for row in rows), key=repr) == brute([(row.doc_id, row.text) for row in table], 400)
+    whole = {row.doc_id: row.text or "" for row in table}
+    for row in rows:
+        assert (row.text == whole[row.doc_id]) == (row.n_removed == 0)
+        # no text here is cut inside a character
+        assert hashlib.sha256(row.text.encode()).hexdigest() == row.kept_sha256
